@@ -7,12 +7,46 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paragrid.llm import bpe, packing
+from paragrid.llm import bpe, lines, packing, pieces, unify
 from paragrid.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of texts that are not the same string but look the same."""
+    return unify.look_alike_pairs(unify.texts_of(table(spark, folder, "blocks"), table(spark, folder, "grounding_cases")))
+
+
+def p1_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every block, claim and source text in one consistent form."""
+    texts = unify.texts_of(table(spark, folder, "blocks"), table(spark, folder, "grounding_cases"))
+    return unify.unify(texts).select("key", "unified").distinct()
+
+
+def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of every block and chunk over 1,800 characters."""
+    items = pieces.items(table(spark, folder, "blocks"), table(spark, folder, "chunks"))
+    return pieces.split_items(items, "item_id", "text", "section_path")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every block and chunk over 1,800 characters."""
+    return p2_pieces(spark, folder).select("item_id").distinct()
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Each line that its host repeats."""
+    return lines.found_lines(table(spark, folder, "blocks"), table(spark, folder, "chunks"))
+
+
+def p6_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Every block without the lines that its host repeats."""
+    blocks = table(spark, folder, "blocks")
+    cleaned = lines.without_lines(blocks, p6_found(spark, folder))
+    return cleaned.select("document_id", "block_id", "block_type", "reading_order", "text")
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id and token ids of every document."""
     return bpe.encode(table(spark, folder, "documents").select("doc_id", "text"))
@@ -25,8 +59,30 @@ def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p8_ids": p8_ids, "p9_containers": p9_containers}
+    own = (p1_found, p1_texts, p2_found, p2_pieces, p6_found, p6_blocks, p8_ids, p9_containers)
+    return {query.__name__: query for query in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p6_found": """
+            WITH hosts AS (
+                SELECT document_id, min(lower(source_host)) AS host FROM chunks WHERE source_host IS NOT NULL GROUP BY 1
+            ), sizes AS (SELECT host, count(*) AS n FROM hosts GROUP BY 1),
+            cut AS (
+                SELECT DISTINCT document_id, block_id, line_no, line FROM (
+                    SELECT document_id, block_id, unnest(range(len(l))) AS line_no, unnest(l) AS line
+                    FROM (SELECT document_id, block_id, string_split(text, chr(10)) AS l FROM blocks
+                          WHERE block_type IS DISTINCT FROM 'table_cell'))
+            ), formed AS (
+                SELECT *, regexp_replace(regexp_replace(regexp_replace(line, '[0-9]', '', 'g'), '^[\\s\\p{Z}]+', ''), '[\\s\\p{Z}]+$', '') AS form FROM cut
+            ), lettered AS (SELECT f.*, host FROM formed f JOIN hosts USING (document_id) WHERE regexp_matches(form, '\\p{L}')),
+            often AS (
+                SELECT host, form FROM lettered JOIN sizes USING (host) GROUP BY host, form, n
+                HAVING count(DISTINCT document_id) >= 5 AND count(DISTINCT document_id) >= 0.25 * n
+            )
+            SELECT DISTINCT block_id, CAST(line_no AS INTEGER) AS line_no FROM lettered JOIN often USING (host, form)""",
+        "p2_found": """
+            SELECT DISTINCT block_id AS item_id FROM blocks WHERE block_type IS DISTINCT FROM 'table_cell' AND length(text) > 1800
+            UNION SELECT chunk_id FROM chunks WHERE length(text) > 1800""",
+    }
