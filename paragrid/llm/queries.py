@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paragrid.llm import bpe, lines, packing, pieces, unify
+from paragrid.llm import bpe, lines, packing, pieces, spans, unify
 from paragrid.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,8 +58,18 @@ def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(sizes, "doc_id", "tokens")
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of documents that share a passage of at least 150 characters."""
+    return spans.sharing_pairs(table(spark, folder, "documents"))
+
+
+def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of each document's characters that stands in another document too."""
+    return spans.shared_share(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    own = (p1_found, p1_texts, p2_found, p2_pieces, p6_found, p6_blocks, p8_ids, p9_containers)
+    own = (p1_found, p1_texts, p2_found, p2_pieces, p6_found, p6_blocks, p8_ids, p9_containers, p10_found, p10_shares)
     return {query.__name__: query for query in own}
 
 
