@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paragrid.llm import bpe, lines, packing, pieces, spans, unify
+from paragrid.llm import bpe, lines, mainbody, packing, pieces, spans, unify
 from paragrid.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,22 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return p2_pieces(spark, folder).select("item_id").distinct()
 
 
+def _page_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    pages = mainbody.web_pages(table(spark, folder, "parsed_documents"))
+    return mainbody.judged(table(spark, folder, "blocks"), pages, lines.hosts_of(table(spark, folder, "chunks")))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Each block of a web page that is not part of its main body."""
+    return _page_verdicts(spark, folder).where("not body").select("block_id").distinct()
+
+
+def p5_bodies(spark: SparkSession, folder: str) -> DataFrame:
+    """The blocks of every web page's main body."""
+    bodies = mainbody.main_bodies(table(spark, folder, "blocks"), _page_verdicts(spark, folder))
+    return bodies.select("document_id", "block_id", "block_type", "reading_order", "text")
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Each line that its host repeats."""
     return lines.found_lines(table(spark, folder, "blocks"), table(spark, folder, "chunks"))
@@ -69,7 +85,7 @@ def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (p1_found, p1_texts, p2_found, p2_pieces, p6_found, p6_blocks, p8_ids, p9_containers, p10_found, p10_shares)
+    own = (p1_found, p1_texts, p2_found, p2_pieces, p5_found, p5_bodies, p6_found, p6_blocks, p8_ids, p9_containers, p10_found, p10_shares)
     return {query.__name__: query for query in own}
 
 
