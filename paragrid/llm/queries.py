@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paragrid.llm import bpe, lines, mainbody, neardup, packing, pieces, spans, unify
+from paragrid.llm import bpe, lines, mainbody, mojibake, neardup, packing, pieces, spans, unify
 from paragrid.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,17 @@ def p6_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return cleaned.select("document_id", "block_id", "block_type", "reading_order", "text")
 
 
+def p7_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """The restored text of every block that was read with a wrong encoding."""
+    blocks = table(spark, folder, "blocks")
+    return mojibake.restored_blocks(blocks, mojibake.word_counts(blocks))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Each block that was garbled by a wrong encoding."""
+    return p7_restored(spark, folder).select("block_id").distinct()
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id and token ids of every document."""
     return bpe.encode(table(spark, folder, "documents").select("doc_id", "text"))
@@ -95,7 +106,7 @@ def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (p1_found, p1_texts, p2_found, p2_pieces, p4_found, p4_groups, p5_found, p5_bodies, p6_found, p6_blocks, p8_ids, p9_containers, p10_found, p10_shares)
+    own = (p1_found, p1_texts, p2_found, p2_pieces, p4_found, p4_groups, p5_found, p5_bodies, p6_found, p6_blocks, p7_found, p7_restored, p8_ids, p9_containers, p10_found, p10_shares)
     return {query.__name__: query for query in own}
 
 
