@@ -24,7 +24,7 @@ VOCABULARY = 50_000
 BEAM = 24
 LOST = "\ufffd"
 FAR = -14.0
-MOST_LOST = 0.6
+MOST_LOST = {"utf-8": 0.75, "cp949": 0.6}
 SURE = -4.5
 # Fixed values: (wrong, right) encodings of the noisy channel.
 CHANNELS = (("cp949", "utf-8"), ("gbk", "utf-8"), ("cp932", "cp949"), ("utf-8", "cp949"), ("cp932", "utf-8"), ("gbk", "cp949"), ("big5", "utf-8"))
@@ -202,7 +202,7 @@ def _span(span: str, language: Language) -> tuple[str, str] | None:
     best: tuple[float, str, str] | None = None
     for wrong, right in CHANNELS:
         raw = lattice(span, wrong)
-        if raw is None or len(raw) > 400 or raw.count(None) > MOST_LOST * len(raw):
+        if raw is None or len(raw) > 400 or raw.count(None) > MOST_LOST[right] * len(raw):
             continue
         score, read = viterbi(raw, right, language)
         if read and (best is None or score / len(read) > best[0]):
