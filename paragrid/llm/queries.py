@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paragrid.llm import bpe, lines, mainbody, mojibake, neardup, packing, pieces, spans, unify
+from paragrid.llm import bpe, lines, mainbody, mojibake, neardup, packing, pieces, scans, spans, unify
 from paragrid.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,16 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return p2_pieces(spark, folder).select("item_id").distinct()
 
 
+def p3_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    """The repaired text of every block with noise from scanning."""
+    return scans.repaired_blocks(table(spark, folder, "blocks"), table(spark, folder, "parsed_documents"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Each block with noise from scanning."""
+    return p3_repaired(spark, folder).select("block_id").distinct()
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of documents that are at least 0.7 alike."""
     return neardup.alike_pairs(table(spark, folder, "blocks"))
@@ -106,7 +116,7 @@ def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (p1_found, p1_texts, p2_found, p2_pieces, p4_found, p4_groups, p5_found, p5_bodies, p6_found, p6_blocks, p7_found, p7_restored, p8_ids, p9_containers, p10_found, p10_shares)
+    own = (p1_found, p1_texts, p2_found, p2_pieces, p3_found, p3_repaired, p4_found, p4_groups, p5_found, p5_bodies, p6_found, p6_blocks, p7_found, p7_restored, p8_ids, p9_containers, p10_found, p10_shares)
     return {query.__name__: query for query in own}
 
 
