@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from paragrid.plans import corpus, events, measures, search, texts
+
 Query = Callable[[SparkSession, str], DataFrame]
+_PLANS = (texts, search, corpus, measures, events)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    raise NotImplementedError
+    """Lexical search, fused with its re-ranking, with at most two answers of a source."""
+    return search.document_diverse(spark, folder)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for plan in _PLANS for name, sql in plan.SQL.items()}

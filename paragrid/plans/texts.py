@@ -99,7 +99,7 @@ QUERIES = {
 _STEMS = f"list_distinct(list_transform({_TERMS.format('text')}, lambda t: regexp_replace(t, '^(..+?)({text.PARTICLES})$', '\\1')))"
 _URL = r"^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/?#:@]+)(:[0-9]+)?([^?#]*)[?]?([^#]*)"
 _TRACK = ", ".join(f"'{t}'" for t in urls.TRACKING)
-_RULES = (
+FACTS = (
     ("date", r"[0-9]{4}(?:-[0-9]{1,2}-[0-9]{1,2}|년 [0-9]{1,2}월 [0-9]{1,2}일|[.] [0-9]{1,2}[.] [0-9]{1,2}[.])"),
     ("term", r"[0-9]{4}학년도(?: [0-9]학기)?(?: [0-9]{1,2}주차)?"),
     ("day", r"[0-9]{1,2}월 [0-9]{1,2}일"),
@@ -126,7 +126,7 @@ SQL = {
     "content_terms": f"SELECT term, count(*) AS documents FROM (SELECT unnest({_STEMS}) AS term FROM documents) GROUP BY 1",
     "number_values": "SELECT doc_id, len(n) AS n_numbers, md5(array_to_string(n, ' ')) AS mark FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '[0-9][0-9,]*(?:[.][0-9]+)?'), lambda x: replace(x, ',', '')) AS n FROM documents) WHERE n IS NOT NULL",
     "critical_values": "SELECT DISTINCT id, fact FROM (" + " UNION ALL ".join(
-        f"SELECT id, '{k}:' || replace(replace(unnest(regexp_extract_all(f, '{p}')), ',', ''), ' ', '') AS fact FROM folded" for k, p in _RULES
+        f"SELECT id, '{k}:' || replace(replace(unnest(regexp_extract_all(f, '{p}')), ',', ''), ' ', '') AS fact FROM folded" for k, p in FACTS
     ) + ")",
     "sentence_split": r"""SELECT doc_id, n - 1 AS n, md5(s) AS mark, length(s) AS n_chars FROM (SELECT doc_id, unnest(range(1, len(l) + 1)) AS n, unnest(l) AS s FROM (
         SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([가-힣A-Za-z)\]’"][.!?])[ \t]+', '\1' || chr(10), 'g'), '\n+'),
