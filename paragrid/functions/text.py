@@ -11,7 +11,8 @@ from pyspark.sql.types import StringType
 
 #: White space of Unicode, written out so that every regex engine means the same.
 SPACE = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-TERM = "[가-힣]+|[a-z]+|[0-9]+"
+#: Runs of one class; single letters are no terms.
+TERM = "[가-힣]{2,}|[a-z]{2,}|[0-9]+"
 #: Particles that end a word, the longest first.
 PARTICLES = "으로부터|에서는|에게서|으로는|까지는|에서|에게|으로|부터|까지|에는|과의|와의|은|는|이|가|을|를|의|에|로|와|과|도|만"
 
@@ -56,8 +57,12 @@ def title_key(title: Column) -> Column:
 
 def terms(text: Column) -> Column:
     """Runs of Hangul, Latin letters or digits in lower case; single letters are dropped, single digits stay."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
-    return F.filter(found, lambda t: (F.length(t) > 1) | t.rlike("^[0-9]$"))
+    return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
+
+
+def term_bag(text: Column) -> Column:
+    """The terms of :func:`search_terms` in another order: one pass of a regular expression each for terms and pairs."""
+    return F.concat(terms(text), F.regexp_extract_all(text, F.lit("(?=([가-힣]{2}))"), F.lit(1)))
 
 
 def search_terms(text: Column) -> Column:

@@ -53,7 +53,7 @@ SQL = {
     "hourly_counts": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2",
     "user_sessions": """WITH f AS (SELECT *, CASE WHEN (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1000000.0 > 1800 OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS f FROM events
         WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, CAST(sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM f)
-        SELECT user_id, session, min(ts) AS start, max(ts) AS "end", count(*) AS n FROM s GROUP BY 1, 2""",
+        SELECT user_id, session, min(ts) AS started, max(ts) AS ended, count(*) AS n FROM s GROUP BY 1, 2""",
     "conversation_latest30": "SELECT user_id, event_id, place FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events) WHERE place <= 30",
     "attempt_ledger_audit": """WITH r AS (SELECT *, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS bad FROM events), g AS (SELECT *, sum(1 - bad) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM r),
         l AS (SELECT user_id, run, count(*) AS n, sum(bad) AS bad FROM g GROUP BY 1, 2), e AS (SELECT user_id, arg_max(bad, (ts, event_id)) = 1 AS ends_failed FROM r GROUP BY 1)

@@ -7,16 +7,20 @@ from pyspark.sql import functions as F
 from paragrid.functions import text
 from paragrid.operators import retrieval
 from paragrid.plans.texts import SEARCH_TERMS
-from paragrid.sources.tables import table
+from paragrid.sources.tables import spread, table
 
 
 def _documents(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", "text", "title", "source", "lang", "category")
+    return spread(table(spark, folder, "documents").select("doc_id", "text", "title", "source", "lang", "category"))
 
 
-def _index(spark, folder):
+def _tokens(spark, folder):
     fields = F.concat_ws("\n", F.col("title"), F.col("category"), F.col("text"))
-    return retrieval.postings(_documents(spark, folder), "doc_id", fields)
+    return retrieval.tokens(_documents(spark, folder), "doc_id", fields)
+
+
+def _index(spark, folder):
+    return retrieval.postings(_tokens(spark, folder), "doc_id")
 
 
 def _asked(spark, folder):
@@ -25,12 +29,12 @@ def _asked(spark, folder):
 
 
 def ranked(spark, folder, k=40):
-    found = retrieval.bm25(_index(spark, folder), _asked(spark, folder), "doc_id", "query_id")
+    found = retrieval.bm25(_tokens(spark, folder), _asked(spark, folder), "doc_id", "query_id")
     return retrieval.top(found, "query_id", "doc_id", k)
 
 
 def _heads(spark, folder):
-    return _documents(spark, folder).select("doc_id", "source", "title", "text")
+    return table(spark, folder, "documents").select("doc_id", "source", "title", "text")
 
 
 def postings_lists(spark, folder):
@@ -47,7 +51,7 @@ def bm25_topk(spark, folder):
 
 def bm25_filtered_global_idf(spark, folder):
     allowed = _documents(spark, folder).where("lower(lang) = 'en'")
-    found = retrieval.bm25(_index(spark, folder), _asked(spark, folder), "doc_id", "query_id", allowed)
+    found = retrieval.bm25(_tokens(spark, folder), _asked(spark, folder), "doc_id", "query_id", allowed)
     return retrieval.top(found, "query_id", "doc_id", 5).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 

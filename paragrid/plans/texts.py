@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paragrid.functions import ids, text, urls
-from paragrid.sources.tables import table
+from paragrid.sources.tables import spread, table
 
 _SPACE = text.SPACE
 _TERMS = "list_filter(regexp_extract_all(lower({0}), '[가-힣]+|[a-z]+|[0-9]+'), lambda t: length(t) > 1 OR regexp_matches(t, '^[0-9]$'))"
@@ -16,7 +16,7 @@ SEARCH_TERMS = (
 
 
 def tokenize_terms(spark, folder):
-    found = table(spark, folder, "documents").select("doc_id", text.terms(F.col("text")).alias("terms"))
+    found = spread(table(spark, folder, "documents")).select("doc_id", text.terms(F.col("text")).alias("terms"))
     return found.select("doc_id", F.size("terms").cast("long").alias("n_terms"), F.size(F.array_distinct("terms")).cast("long").alias("n_distinct"), F.md5(F.array_join("terms", " ")).alias("mark")).where("n_terms >= 0")
 
 
@@ -27,25 +27,25 @@ def search_text(spark, folder):
 
 
 def fold_whitespace(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", F.md5(text.fold_space(F.col("text"))).alias("mark"), F.length(text.fold_space(F.col("text"))).cast("long").alias("n_chars"))
+    return spread(table(spark, folder, "documents")).select("doc_id", F.md5(text.fold_space(F.col("text"))).alias("mark"), F.length(text.fold_space(F.col("text"))).cast("long").alias("n_chars"))
 
 
 def clean_text(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", F.md5(text.clean(F.col("text"))).alias("mark"))
+    return spread(table(spark, folder, "documents")).select("doc_id", F.md5(text.clean(F.col("text"))).alias("mark"))
 
 
 def title_fingerprint(spark, folder):
-    keyed = table(spark, folder, "documents").select(text.title_key(F.col("title")).alias("title_key"))
+    keyed = spread(table(spark, folder, "documents")).select(text.title_key(F.col("title")).alias("title_key"))
     return keyed.where("title_key <> ''").groupBy("title_key").agg(F.count("*").alias("documents"))
 
 
 def content_terms(spark, folder):
-    found = table(spark, folder, "documents").select(F.explode(text.stems(F.col("text"))).alias("term"))
+    found = spread(table(spark, folder, "documents")).select(F.explode(text.stems(F.col("text"))).alias("term"))
     return found.groupBy("term").agg(F.count("*").alias("documents"))
 
 
 def number_values(spark, folder):
-    found = table(spark, folder, "documents").select("doc_id", text.numbers(F.col("text")).alias("n"))
+    found = spread(table(spark, folder, "documents")).select("doc_id", text.numbers(F.col("text")).alias("n"))
     return found.select("doc_id", F.size("n").cast("long").alias("n_numbers"), F.md5(F.array_join("n", " ")).alias("mark")).where("n_numbers >= 0")
 
 
@@ -55,7 +55,7 @@ def critical_values(spark, folder):
 
 
 def sentence_split(spark, folder):
-    rows = table(spark, folder, "documents").select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("n", "sentence"))
+    rows = spread(table(spark, folder, "documents")).select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("n", "sentence"))
     return rows.select("doc_id", F.col("n").cast("long").alias("n"), F.md5("sentence").alias("mark"), F.length("sentence").cast("long").alias("n_chars"))
 
 

@@ -26,12 +26,12 @@ def windowed_counts(events: DataFrame, time: str, width: str, *by: str, late: st
 
 
 def sessions(events: DataFrame, key: str, time: str, gap_seconds: int) -> DataFrame:
-    """``(key, session, start, end, n)``: runs of events with no gap over ``gap_seconds``."""
+    """``(key, session, started, ended, n)``: runs of events with no gap over ``gap_seconds``."""
     order = W.partitionBy(key).orderBy(time, "event_id")
     seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
     fresh = F.coalesce((seconds(F.col(time)) - seconds(F.lag(time).over(order)) > gap_seconds).cast("int"), F.lit(1))
     numbered = events.withColumn("_f", fresh).withColumn("session", F.sum("_f").over(order))
-    return numbered.groupBy(key, "session").agg(F.min(time).alias("start"), F.max(time).alias("end"), F.count("*").alias("n"))
+    return numbered.groupBy(key, "session").agg(F.min(time).alias("started"), F.max(time).alias("ended"), F.count("*").alias("n"))
 
 
 def newest(events: DataFrame, key: str, most: int, *order: Column) -> DataFrame:
