@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paragrid.plans import corpus, events, measures, search, texts
+from paragrid.plans import corpus, events, measures, search, sources, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-_PLANS = (texts, search, corpus, measures, events)
+_PLANS = (texts, search, corpus, measures, events, sources)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
