@@ -120,8 +120,29 @@ def queries() -> dict[str, Query]:
     return {query.__name__: query for query in own}
 
 
+_WINDOWS = """windows AS (SELECT DISTINCT doc_id, start, md5(substring(text, start + 1, 150)) AS mark FROM (
+    SELECT doc_id, text, unnest(range(0, length(text) - 149)) AS start FROM documents WHERE length(text) >= 150)),
+    shared AS (SELECT mark FROM windows GROUP BY mark HAVING count(DISTINCT doc_id) > 1)"""
+# The white space of Unicode.
+_SPACE = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p10_found": f"""WITH {_WINDOWS}, places AS (SELECT DISTINCT doc_id, mark FROM windows WHERE mark IN (SELECT mark FROM shared))
+            SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM places a JOIN places b ON a.mark = b.mark AND a.doc_id < b.doc_id""",
+        "p10_shares": f"""WITH {_WINDOWS}, starts AS (SELECT doc_id, start FROM windows WHERE mark IN (SELECT mark FROM shared)),
+            covered AS (SELECT doc_id, least(coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY start) - start, 150), 150) AS own FROM starts),
+            found AS (SELECT doc_id, CAST(sum(own) AS BIGINT) AS own FROM covered GROUP BY 1)
+            SELECT doc_id, coalesce(length(text), 0) AS n_chars, coalesce(own, 0) AS shared_chars,
+            CASE WHEN length(text) > 0 THEN round(coalesce(own, 0) / length(text), 6) ELSE 0.0 END AS share FROM documents LEFT JOIN found USING (doc_id)""",
+        "p4_found": f"""WITH own AS (SELECT DISTINCT document_id, block_id, reading_order, text FROM blocks WHERE block_type IS DISTINCT FROM 'table_cell' AND text IS NOT NULL
+            AND document_id NOT IN (SELECT document_id FROM blocks GROUP BY 1 HAVING count(*) > 50 AND count(*) >= 0.08 * (SELECT count(*) FROM blocks))),
+            whole AS (SELECT document_id, regexp_replace(string_agg(text, chr(10) ORDER BY reading_order, block_id, text), '{_SPACE}', ' ', 'g') AS t FROM own GROUP BY 1),
+            parts AS (SELECT DISTINCT document_id, substring(t, i, 5) AS s FROM (SELECT document_id, t, unnest(range(1, length(t) - 3)) AS i FROM whole)),
+            sizes AS (SELECT document_id, count(*) AS n FROM parts GROUP BY 1),
+            both_have AS (SELECT a.document_id AS x, b.document_id AS y, count(*) AS n FROM parts a JOIN parts b ON a.s = b.s AND a.document_id < b.document_id GROUP BY 1, 2)
+            SELECT x AS document_id_a, y AS document_id_b FROM both_have p JOIN sizes a ON a.document_id = x JOIN sizes b ON b.document_id = y WHERE p.n >= 0.7 * (a.n + b.n - p.n)""",
         "p6_found": """
             WITH hosts AS (
                 SELECT document_id, min(lower(source_host)) AS host FROM chunks WHERE source_host IS NOT NULL GROUP BY 1
