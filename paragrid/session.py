@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,11 +29,15 @@ def build_session(app: str = "paragrid", master: str | None = None, **conf: str)
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder.
 
-    The folder is the session's ``spark.checkpoint.dir``; only a session without one
-    (tests, a single machine) gets a temporary folder of its own.
+    The folder is the session's ``spark.checkpoint.dir``; only a session on one machine
+    without that setting (tests) gets a temporary folder of its own.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="paragrid-checkpoint-")
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not re.match(r"local(\[|$)", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="paragrid-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
