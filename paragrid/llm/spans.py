@@ -18,7 +18,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paragrid.session import materialize
@@ -122,7 +122,17 @@ def _keys(low: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndar
 _PACKED = "bucket int, documents binary, index binary, position binary, low binary, before binary, after binary"
 
 
-def _send(buckets: int):
+def _partition_keys(spark: SparkSession, partitions: int) -> list[int]:
+    """A number for each partition that hash partitioning puts there, so that no partition gets two buckets."""
+    tried = spark.range(40 * partitions + 100).select(F.col("id").cast("int").alias("k"))
+    placed = tried.groupBy(F.expr(f"pmod(hash(k), {partitions})").alias("p")).agg(F.min("k").alias("k"))
+    found = {r["p"]: r["k"] for r in placed.collect()}  # a row for each partition
+    return [found.get(p, p) for p in range(partitions)]
+
+
+def _send(keys: list[int]):
+    buckets = len(keys)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.array(batch.column(0).to_pylist(), np.int64)
@@ -153,7 +163,7 @@ def _send(buckets: int):
                         parts = [low[which], before[which], after[which]]
                     # Differences of neighbours are small numbers, which the shuffle's codec shrinks.
                     steps = [np.diff(index, prepend=0).astype(np.int32), np.diff(position[which], prepend=0).astype(np.int32)]
-                    out.append((b, *(a.tobytes() for a in (unique[own], *steps, *parts))))
+                    out.append((keys[b], *(a.tobytes() for a in (unique[own], *steps, *parts))))
                 if out:
                     columns = [pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*out))]
                     yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _PACKED.split(", ")])
@@ -241,7 +251,7 @@ def _candidates(texts: DataFrame) -> DataFrame:
     """``(document, text, positions)`` of documents with anchors that stand elsewhere too."""
     spark = texts.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = texts.mapInArrow(_send(buckets), _PACKED).repartition(buckets, "bucket")
+    sent = texts.mapInArrow(_send(_partition_keys(spark, buckets)), _PACKED).repartition(buckets, "bucket")
     anchors = materialize(sent.mapInArrow(_meet, "document long, position int"))
     places = anchors.groupBy("document").agg(F.collect_set("position").alias("positions"))  # at most a text's length
     if anchors.count() <= BROADCAST_POSITIONS:  # 16 MB of positions
