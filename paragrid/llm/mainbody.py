@@ -51,13 +51,14 @@ def judged(blocks: DataFrame, pages: DataFrame, hosts: DataFrame) -> DataFrame:
     often it stands in ``blocks``. Headings, tables, captions, null and blank texts and
     blocks inside a section are body.
     """
-    web = blocks.join(pages.select("document_id").distinct(), "document_id", "left_semi")
     inside = F.coalesce(F.size("section_path") > 0, F.lit(False))
     levels = [f"l{n}" for n in range(4)]
     loose = F.col("block_type").isin(*LOOSE) & F.coalesce(F.length(F.trim("text")) > 0, F.lit(False))
     marked = (
-        web.where("block_type is distinct from 'table_cell'")
+        blocks.where("block_type is distinct from 'table_cell'")
         .select("document_id", "block_id", loose.alias("loose"), inside.alias("inside"), *(p.alias(n) for p, n in zip(paths(F.col("text")), levels)))
+        # Only hashes go through the join, so a document of a tenth of all blocks weighs little in its task.
+        .join(pages.select("document_id").distinct(), "document_id", "left_semi")
         .groupBy("document_id", "block_id")
         .agg(*(F.max(c).alias(c) for c in ("loose", "inside", *levels)))
         .join(hosts, "document_id", "left")
@@ -69,6 +70,8 @@ def judged(blocks: DataFrame, pages: DataFrame, hosts: DataFrame) -> DataFrame:
     # Votes are sums over all rows, pre-aggregated before their shuffle; from the general path to the special.
     for keys in (["l3"], ["l2"], ["l1"], ["l0"], ["host", "l0"]):
         votes = voters.groupBy(*keys).agg(F.sum(score).alias("for"), F.count("*").alias("all"))
+        if keys == ["l3"]:
+            votes = F.broadcast(votes)  # separators x sentence forms x sizes: at most 160 rows
         leaning = (F.coalesce(F.col("for"), F.lit(0.0)) + LEAN * F.col("vote")) / (F.coalesce(F.col("all"), F.lit(0)) + LEAN)
         result = result.join(votes, keys, "left").withColumn("vote", leaning).drop("for", "all")
     furniture = result.where(F.col("vote") < THRESHOLD).select("document_id", "block_id", F.lit(False).alias("body"))
