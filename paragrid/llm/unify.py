@@ -85,8 +85,9 @@ def _space_table() -> dict[int, str | None]:
 
 
 def consistent(text: str) -> str:
-    """The comparison form; idempotent."""
+    """The comparison form, made from the appearance, so that what looks the same has one form; idempotent."""
     if _PLAIN.search(text):
+        text = appearance(text)  # first: NFKC would turn a look-alike such as U+318D or U+03F2 into another letter
         text = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).translate(_space_table()))
         return unicodedata.normalize("NFKC", text.casefold()).translate(_look_alikes())
     return text.casefold()

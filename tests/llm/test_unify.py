@@ -42,3 +42,13 @@ def test_unify_keeps_rows_and_columns(spark):
     got = sorted(map(tuple, unify.unify(df.withColumnRenamed("unified", "id")).collect()), key=str)
     assert got == [(1, "Ａ", "a"), (1, "Ａ", "a"), (2, None, None), (3, "", "")]
     assert unify.unify(df).columns == ["text", "unified"]
+
+
+def test_equal_appearance_has_one_form(spark):
+    form_of = {}
+    for code in [*range(0x80, 0xD800), *range(0xE000, 0x10000)]:
+        look, form = unify.appearance(chr(code)), unify.consistent(chr(code))
+        assert form_of.setdefault(look, form) == form == unify.consistent(look), hex(code)
+    rows = [("a", "가\u318d나"), ("b", "가\u00b7나"), ("c", "\u03f2at"), ("d", "cat")]
+    df = spark.createDataFrame(rows, "key string, text string")
+    assert {tuple(r) for r in unify.look_alike_pairs(df).collect()} == {("a", "b"), ("c", "d")}
