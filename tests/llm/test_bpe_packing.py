@@ -49,3 +49,21 @@ def test_packing_is_whole_and_tight(spark):
     assert of[902][0].container is None and of[903][0].container is None
     assert len(fill) <= -(-sum(s or 0 for _, s in sizes) // 8192) + 1
     assert packing.pack(df.limit(0), "doc_id", "tokens").count() == 0
+
+
+def test_packing_ends_where_no_bin_gets_full(spark):
+    df = spark.range(2_001).selectExpr("id AS doc_id", "if(id < 1900, 5000, 3000) AS tokens")
+    rows = packing.pack(df, "doc_id", "tokens", group_items=300).collect()
+    fill = {}
+    for r in rows:
+        fill[r.container] = fill.get(r.container, 0) + r.tokens
+    assert len(rows) == 2_001 and len(fill) == 1_900 and max(fill.values()) == 8_000
+
+
+def test_local_search_reaches_every_underfull_bin():
+    # the 60 emptiest bins can't empty each other; the two fullest can be emptied into them
+    sizes = [6] * 60 + [7, 2, 4, 4]
+    bins = [[n] for n in range(60)] + [[60], [61, 62], [63]]
+    packed = packing.local_search(bins, sizes, 10)
+    assert len(packed) == 61 and sorted(i for b in packed for i in b) == list(range(64))
+    assert all(sum(sizes[i] for i in b) <= 10 for b in packed)
