@@ -85,3 +85,14 @@ def test_scanned_blocks(spark):
     assert {k for k in got if "h" in k} == {f"s{n}:h{k}" for n in range(6) for k in range(3)} and got["s0:h1"] == ""
     assert not any(k.startswith("h") for k in got) and "s0:t" not in got
     assert scans.repaired_blocks(df.limit(0), titles).count() == 0
+
+
+def test_one_mark_is_enough(spark):
+    good = "학생은 신청서를 제출하여야 합니다. 담당자가 확인하여 통보합니다. "
+    rows = [(f"h{n}", f"h{n}:{k}", "paragraph", "native/html", good * 3) for n in range(10) for k in range(4)]
+    rows += [("p", f"p:{k}", "paragraph", "native/pdf-text", good) for k in range(3)] + [("p", "p:9", "paragraph", "native/pdf-text", "번호는 TL-9884\n- 216 -\n문서에 따라 정합니다.")]
+    rows += [("q", "q:0", "paragraph", "native/pdf-text", "신청은 영문-\n지원센터에서 받습니다."), ("q", "q:1", "paragraph", "native/pdf-text", good)]
+    df = spark.createDataFrame(rows, "document_id string, block_id string, block_type string, parser string, text string")
+    titles = spark.createDataFrame([("p", "안내")], "document_id string, source_title string")
+    got = {r.block_id: r.text for r in scans.repaired_blocks(df, titles).collect()}
+    assert got == {"p:9": "번호는 TL-9884 문서에 따라 정합니다.", "q:0": "신청은 영문지원센터에서 받습니다."}
