@@ -4,8 +4,8 @@ For every line of a source the number of its documents is compared with the numb
 documents elsewhere by a one-sided log-likelihood ratio; a line is in excess if its
 q-value (Benjamini and Hochberg over all lines of the least support) is at most
 ``alpha``, or if it stands in ``min_share`` of the source's documents whatever the
-others do. Excess lines are taken out by an anti-join and each block is put together
-again by line position.
+others do. ``found_lines`` keeps those of that share only, so the test decides no row of
+it. Found lines are taken out of a block by a filter of its lines by their numbers.
 """
 
 from __future__ import annotations
