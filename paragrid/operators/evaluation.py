@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,23 +55,31 @@ def confusion(rows: DataFrame, actual: Column, predicted: Column, *by: str) -> D
 def kappa(rows: DataFrame, left: Column, right: Column, weights: str = "none", levels: int = 2) -> DataFrame:
     """One row ``(n, agreement, kappa)`` of two labels; ``weights`` "quadratic" for ordered labels 0 to levels-1.
 
-    Only rows with both labels count; kappa is null where chance agreement is complete.
+    Only rows with both labels count; kappa is null where chance agreement is complete or nothing
+    counts. One aggregation: with quadratic weights chance follows from the labels' first two
+    moments, without weights from the products of the margins.
     """
     pairs = rows.select(left.alias("l"), right.alias("r")).where("l is not null and r is not null").groupBy("l", "r").agg(F.count("*").alias("n"))
-    w = F.lit(1.0) - F.pow((F.col("l") - F.col("r")) / (levels - 1), F.lit(2.0)) if weights == "quadratic" else (F.col("l") == F.col("r")).cast("double")
-    observed = pairs.withColumn("w", w).agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("w")) / F.sum("n")).alias("po"))
-    lefts = pairs.groupBy("l").agg(F.sum("n").alias("a"))
-    rights = pairs.groupBy("r").agg(F.sum("n").alias("b"))
-    # The expected table comes from the two margins, spread over the label values seen.
-    values = pairs.select(F.col("l").alias("v")).union(pairs.select("r")).distinct().agg(F.array_sort(F.collect_set("v")).alias("vs")).first()["vs"]
-    if not values:
-        return observed.select(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("agreement"), F.lit(None).cast("double").alias("kappa"))
-    margin = lefts.withColumn("r", F.explode(F.array(*(F.lit(v) for v in values)))).join(rights, "r")
-    w2 = F.lit(1.0) - F.pow((F.col("l") - F.col("r")) / (levels - 1), F.lit(2.0)) if weights == "quadratic" else (F.col("l") == F.col("r")).cast("double")
-    n = observed.first()
-    chance = margin.agg((F.sum(F.col("a") * F.col("b") * w2) / F.lit(float(n["n"]) ** 2)).alias("pe"))
-    value = F.when(F.col("pe") < 1, (F.lit(n["po"]) - F.col("pe")) / (1 - F.col("pe")))
-    return chance.select(F.lit(n["n"]).alias("n"), F.round(F.lit(n["po"]), 6).alias("agreement"), F.round(value, 6).alias("kappa"))
+    total = F.sum("n")
+    if weights == "quadratic":
+        scale = F.lit(float((levels - 1) ** 2))
+        mean = lambda x: F.sum(F.col("n") * x) / total
+        l, r = F.col("l").cast("double"), F.col("r").cast("double")
+        found = pairs.agg(
+            total.alias("n"), (1 - mean((l - r) * (l - r)) / scale).alias("po"),
+            (1 - (mean(l * l) - 2 * mean(l) * mean(r) + mean(r * r)) / scale).alias("pe"),
+        )
+    else:
+        # Each label's three sums: how often both gave it, the left one, the right one.
+        sides = F.inline(F.array(
+            F.struct(F.col("l").alias("v"), F.when(F.col("l") == F.col("r"), F.col("n")).otherwise(0).alias("both"), F.col("n").alias("a"), F.lit(0).cast("long").alias("b")),
+            F.struct(F.col("r").alias("v"), F.lit(0).cast("long").alias("both"), F.lit(0).cast("long").alias("a"), F.col("n").alias("b")),
+        ))
+        margins = pairs.select(sides).groupBy("v").agg(*(F.sum(c).alias(c) for c in ("both", "a", "b")))
+        whole = F.sum("a").cast("double")
+        found = margins.agg(F.sum("a").alias("n"), (F.sum("both") / whole).alias("po"), (F.sum(F.col("a").cast("double") * F.col("b")) / (whole * whole)).alias("pe"))
+    value = F.when(F.col("pe") < 1, (F.col("po") - F.col("pe")) / (1 - F.col("pe")))
+    return found.select(F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.round("po", 6).alias("agreement"), F.round(value, 6).alias("kappa"))
 
 
 def unique_mode(rows: DataFrame, group: str, value: str) -> DataFrame:
@@ -83,15 +96,21 @@ def strict_majority(yes: Column, total: Column) -> Column:
 
 
 def exact_mcnemar(gained: Column, lost: Column) -> Column:
-    """The two-sided binomial probability of the discordant pairs; 1 if there are none."""
-    n, least = (gained + lost).cast("int"), F.least(gained, lost).cast("int")
-    start = F.struct(F.pow(F.lit(0.5), n).alias("term"), F.pow(F.lit(0.5), n).alias("total"))
+    """The two-sided binomial probability of the discordant pairs; 1 if there are none.
+
+    The tail's largest term comes from a sum of logarithms and the others as ratios to
+    it, so nothing underflows however many pairs there are.
+    """
+    n, least = (gained + lost).cast("double"), F.least(gained, lost).cast("int")
+    steps = F.when(least > 0, F.sequence(F.lit(1), least)).otherwise(F.array().cast("array<int>"))
+    largest = F.aggregate(steps, -n * math.log(2), lambda s, i: s + F.log((n - i + 1) / i))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
 
-    def step(held: Column, i: Column) -> Column:
-        term = held["term"] * (n - i + 1) / i
+    def down(held: Column, i: Column) -> Column:
+        term = held["term"] * i / (n - i + 1)
         return F.struct(term.alias("term"), (held["total"] + term).alias("total"))
 
-    tail = F.when(least > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(least, F.lit(1))), start, step)["total"]).otherwise(F.pow(F.lit(0.5), n))
+    tail = F.exp(largest) * F.aggregate(F.reverse(steps), start, down)["total"]
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 
@@ -102,19 +121,52 @@ def holm(rows: DataFrame, p: str) -> DataFrame:
     return rows.withColumn("_s", scaled).withColumn("p_holm", F.max("_s").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("_s")
 
 
-def sign_flip(deltas: DataFrame, group: str, delta: str, most: int = 20) -> DataFrame:
-    """``(group, n, p)``: the exact sign-flip probability of the sum of at most ``most`` deltas other than 0."""
-    held = deltas.where(F.col(delta) != 0).groupBy(group).agg(F.collect_list(delta).alias("d")).where(F.size("d") <= most)
+def _flipped_sums(deltas: DataFrame, group: str, delta: str, place: str, draws: int, seed: int) -> DataFrame:
+    """``(group, sums)``: for each group the sums of its deltas under ``draws`` random choices of signs.
+
+    Each row's signs come from its place and the seed, each task sends one vector for a group it holds.
+    """
+    shape = f"{group} {dict(deltas.dtypes)[group]}, total double, sums array<double>"
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for frame in frames:
+            for name, value, at in zip(frame[group], frame[delta], frame[place]):
+                signs = np.random.Generator(np.random.Philox(key=seed, counter=[0, 0, 0, int(at)])).integers(0, 2, draws, dtype=np.int8)
+                total, sums = held.get(name, (0.0, np.zeros(draws)))
+                held[name] = total + value, sums + np.where(signs == 1, value, -value)
+        yield pd.DataFrame([(k, t, v.tolist()) for k, (t, v) in held.items()], columns=[group, "total", "sums"])
+
+    parts = deltas.select(group, delta, place).mapInPandas(add, shape)
+    each = parts.select(group, "total", F.posexplode("sums").alias("draw", "sum"))
+    return each.groupBy(group, "draw").agg(F.sum("total").alias("total"), F.sum("sum").alias("sum"))
+
+
+def sign_flip(deltas: DataFrame, group: str, delta: str, most: int = 20, draws: int = 10_000, seed: int = 1) -> DataFrame:
+    """``(group, n, p)``: the sign-flip probability of the sum of each group's deltas other than 0.
+
+    Up to ``most`` deltas all choices of signs are counted; beyond that ``draws`` random ones give
+    (hits + 1) / (draws + 1). A group without such deltas has the probability 1. Null deltas do not count.
+    """
+    rows = deltas.where(F.col(delta).isNotNull())
+    sizes = rows.groupBy(group).agg(F.count_if(F.col(delta) != 0).alias("n"))
+    other = rows.where(F.col(delta) != 0).join(sizes, group)
+    held = other.where(F.col("n") <= most).groupBy(group).agg(F.collect_list(delta).alias("d"))  # at most ``most`` values
     flips = held.select(group, "d", F.explode(F.sequence(F.lit(0), F.pow(F.lit(2), F.size("d")).cast("int") - 1)).alias("m"))
     signed = F.aggregate(
         F.sequence(F.lit(0), F.size("d") - 1), F.lit(0.0), lambda s, i: s + F.when(F.getbit("m", i) == 1, -1.0).otherwise(1.0) * F.get("d", i)
     )
     total = F.aggregate("d", F.lit(0.0), lambda s, x: s + x)
     hit = (F.abs(signed) >= F.abs(total) - 1e-9).cast("double")
-    return flips.groupBy(group).agg(F.max(F.size("d")).cast("long").alias("n"), F.round(F.avg(hit), 9).alias("p"))
+    exact = flips.groupBy(group).agg(F.avg(hit).alias("p"))
+    many = other.where(F.col("n") > most).withColumn("_at", F.row_number().over(W.partitionBy(group).orderBy(delta)))
+    drawn = _flipped_sums(many, group, delta, "_at", draws, seed).groupBy(group)
+    random = drawn.agg(((F.count_if(F.abs("sum") >= F.abs("total") - 1e-9) + 1) / (F.count("*") + 1)).alias("p"))
+    found = exact.unionByName(random)
+    return sizes.join(found, group, "left").select(group, "n", F.round(F.coalesce("p", F.lit(1.0)), 9).alias("p"))
 
 
-def cluster_bootstrap(deltas: DataFrame, group: str, cluster: str, delta: str, iterations: int = 200) -> DataFrame:
+def cluster_bootstrap(deltas: DataFrame, group: str, cluster: str, delta: str, iterations: int = 10_000) -> DataFrame:
     """``(group, mean, low, high)``: percentile interval of the mean over clusters drawn anew by a hash."""
     means = deltas.groupBy(group, cluster).agg(F.sum(delta).alias("s"), F.count(delta).alias("c"))
     number = F.row_number().over(W.partitionBy(group).orderBy(cluster)) - 1

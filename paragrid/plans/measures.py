@@ -215,7 +215,7 @@ SQL = {
         >= abs(list_sum(d)) - 1e-9 THEN 1.0 ELSE 0.0 END), 9) AS p FROM m GROUP BY 1""",
     "cluster_bootstrap_ci": f"""WITH {_HALVES}, c AS (SELECT event_type, user_id % 40 AS f, sum(round(b - a, 6)) AS s, count(*) AS c FROM halves WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1, 2),
         p AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY f) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS m FROM c),
-        draws AS (SELECT event_type, b, CAST('0x' || substring(md5(b || ':' || j), 1, 8) AS BIGINT) % m AS i FROM (SELECT event_type, m, b, unnest(range(0, m)) AS j FROM (SELECT event_type, max(m) AS m, unnest(range(0, 200)) AS b FROM p GROUP BY 1))),
+        draws AS (SELECT event_type, b, CAST('0x' || substring(md5(b || ':' || j), 1, 8) AS BIGINT) % m AS i FROM (SELECT event_type, m, b, unnest(range(0, m)) AS j FROM (SELECT event_type, max(m) AS m, unnest(range(0, 10000)) AS b FROM p GROUP BY 1))),
         v AS (SELECT event_type, b, sum(s) / sum(c) AS v FROM draws JOIN p USING (event_type, i) GROUP BY 1, 2)
         SELECT event_type, round(mean, 6) AS mean, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM v JOIN (SELECT event_type, sum(s) / sum(c) AS mean FROM p GROUP BY 1) USING (event_type) GROUP BY 1, mean""",
 }

@@ -103,6 +103,21 @@ def test_statistics(spark):
     assert {r.g: r["mode"] for r in mode.collect()} == {"g": None, "h": "x"}
 
 
+def test_tests_hold_at_any_size(spark):
+    pairs = spark.createDataFrame([(600, 600), (745, 749), (0, 2000), (100_000, 99_000)], "a int, b int")
+    p = {r.a: r.p for r in pairs.select("a", evaluation.exact_mcnemar(F.col("a"), F.col("b")).alias("p")).collect()}
+    assert p[600] == 1.0 and abs(p[745] - 0.938) < 2e-3 and 0 <= p[0] < 1e-300 and abs(p[100_000] - 0.0250) < 1e-3
+    some = [float(v) for v in range(-5, 16) if v]
+    deltas = spark.createDataFrame([("few", v) for v in some] + [("many", v) for v in some for _ in range(2)] + [("none", 0.0), ("none", None)], "g string, d double")
+    got = {r.g: (r.n, r.p) for r in evaluation.sign_flip(deltas, "g", "d").collect()}
+    assert got["few"][0] == 20 and got["many"][0] == 40 and got["none"] == (0, 1.0) and got["many"][1] < got["few"][1]
+    drawn = {r.g: r.p for r in evaluation.sign_flip(deltas, "g", "d", most=10).collect()}
+    assert abs(drawn["few"] - got["few"][1]) < 0.01
+    three = spark.createDataFrame([(0, 0)] * 3 + [(1, 2)] * 2 + [(2, 1), (2, 2), (1, 1)], "a int, b int")
+    assert evaluation.kappa(three, F.col("a"), F.col("b"), "quadratic", 3).first().kappa == 0.727273
+    assert evaluation.kappa(three.where("a > 5"), F.col("a"), F.col("b")).first().n == 0
+
+
 def test_html_and_others(spark):
     html = "<html><head><title>제목</title><style>x</style></head><body><h2>장</h2><p>본문 <b>굵게</b></p><ul><li>하나</li></ul><table><tr><th>a</th><td>b</td></tr></table></body></html>"
     archive = io.BytesIO()
