@@ -2,10 +2,12 @@
 
 For every line of a source the number of its documents is compared with the number of
 documents elsewhere by a one-sided log-likelihood ratio; a line is in excess if its
-q-value (Benjamini and Hochberg over all lines of the least support) is at most
-``alpha``, or if it stands in ``min_share`` of the source's documents whatever the
-others do. ``found_lines`` keeps those of that share only, so the test decides no row of
-it. Found lines are taken out of a block by a filter of its lines by their numbers.
+q-value (Benjamini and Hochberg over all lines of the least support) is at most ``alpha``
+and it stands in ``FLOOR`` of the source's documents, or if it stands in ``min_share`` of
+them whatever the others do. ``found_lines`` keeps those of the share only, as the
+definition of p6_found has it; ``without_lines`` takes all lines in excess out of the
+blocks, by an anti-join of their lines, and puts the rest together by position. Blocks
+are split into lines once; what goes on are the hashes of the lines' forms.
 """
 
 from __future__ import annotations
@@ -21,6 +23,10 @@ WHITE = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2
 MIN_DOCUMENTS = 5
 MIN_SHARE = 0.25
 ALPHA = 0.01
+#: A line under this share of its source's documents stays, however rare it is elsewhere.
+FLOOR = 0.05
+#: p-values are told apart in steps of 0.02 decades down to 1e-300.
+STEPS, LAST_STEP = 50, 15_000
 
 
 def line_form(line: Column) -> Column:
@@ -35,11 +41,10 @@ def hosts_of(chunks: DataFrame) -> DataFrame:
 
 
 def lines_of(blocks: DataFrame) -> DataFrame:
-    """``(document_id, block_id, line_no, mark)`` of each line with a letter; mark is the hash of its form."""
+    """``(document_id, block_id, marks)`` of each distinct block: for each line the hash of its form, null where it has no letter."""
     own = blocks.where("block_type is distinct from 'table_cell' and text is not null").select("document_id", "block_id", "text")
-    split = own.select("document_id", "block_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    form = split.select("document_id", "block_id", "line_no", line_form(F.col("line")).alias("form"))
-    return form.where("form is not null").withColumn("mark", F.xxhash64("form"))
+    marks = F.transform(F.split("text", "\n", -1), lambda line: F.when(line_form(line).isNotNull(), F.xxhash64(line_form(line))))
+    return own.select("document_id", "block_id", marks.alias("marks"))
 
 
 def _tail(statistic: Column) -> Column:
@@ -51,9 +56,9 @@ def _tail(statistic: Column) -> Column:
 
 
 def repeated_lines(
-    lines: DataFrame, hosts: DataFrame, min_documents: int = MIN_DOCUMENTS, alpha: float = ALPHA, min_share: float = MIN_SHARE
+    lines: DataFrame, hosts: DataFrame, min_documents: int = MIN_DOCUMENTS, alpha: float = ALPHA, min_share: float = MIN_SHARE, floor: float = FLOOR
 ) -> DataFrame:
-    """Lines in excess: ``(host, mark, form, documents, host_documents, share, outside, log_ratio, log10_q)``.
+    """Lines in excess: ``(host, mark, documents, host_documents, share, outside, log_ratio, log10_q)``.
 
     ``lines`` as of :func:`lines_of`, ``hosts`` one row for each document. A line counts
     once in a document. Documents without a host and lines of fewer than
@@ -61,8 +66,8 @@ def repeated_lines(
     """
     sizes = hosts.groupBy("host").agg(F.count("*").alias("host_documents"))
     everything = hosts.count()
-    each = lines.groupBy("document_id", "mark").agg(F.min("form").alias("form"))
-    seen = each.join(hosts, "document_id").groupBy("host", "mark").agg(F.count("*").alias("documents"), F.min("form").alias("form"))
+    each = lines.select("document_id", F.explode("marks").alias("mark")).where("mark is not null").distinct()
+    seen = each.join(hosts, "document_id").groupBy("host", "mark").agg(F.count("*").alias("documents"))
     # A line's total comes from the counts of its hosts, so no source's rows meet in one task.
     counts = materialize(seen)
     totals = counts.groupBy("mark").agg(F.sum("documents").alias("total"))
@@ -79,36 +84,53 @@ def repeated_lines(
         .withColumn("share", k / n)
         .withColumn("outside", F.when(others > 0, outside / others).otherwise(0.0))
         .withColumn("log_ratio", F.when(F.col("share") > F.col("outside"), F.greatest(ratio, F.lit(0.0))).otherwise(0.0))
-        .withColumn("step", F.round(_tail(F.col("log_ratio")) * 50).cast("int"))
+        .withColumn("step", F.least(F.round(_tail(F.col("log_ratio")) * STEPS), F.lit(LAST_STEP)).cast("int"))
     )
-    # The ranks of all p-values come from their histogram in steps of 0.02 decades: few rows for any number of lines.
+    # The ranks of all p-values come from their histogram: at most ``LAST_STEP`` rows for any number of lines.
     steps = tested.groupBy("step").agg(F.count("*").alias("tests"))
     down = W.orderBy(F.desc("step"))
     ranked = steps.select("step", F.sum("tests").over(down).alias("rank"), F.sum("tests").over(W.partitionBy()).alias("family"))
-    raw = -F.col("step") / 50 + F.log10(F.col("family") / F.col("rank"))
+    raw = -F.col("step") / STEPS + F.log10(F.col("family") / F.col("rank"))
     q = ranked.select("step", F.min(raw).over(W.orderBy("step").rowsBetween(W.unboundedPreceding, 0)).alias("log10_q"))
-    judged = tested.join(F.broadcast(q), "step")  # the histogram: bounded by its range of steps
-    return judged.where((F.col("log10_q") <= F.log10(F.lit(alpha))) | (F.col("share") >= min_share)).select(
-        "host", "mark", "form", "documents", "host_documents", "share", "outside", "log_ratio", "log10_q"
+    judged = tested.join(F.broadcast(q), "step")  # at most ``LAST_STEP`` rows
+    significant = (F.col("log10_q") <= F.log10(F.lit(alpha))) & (F.col("share") >= floor)
+    return judged.where(significant | (F.col("share") >= min_share)).select(
+        "host", "mark", "documents", "host_documents", "share", "outside", "log_ratio", "log10_q"
     )
 
 
+def _placed(lines: DataFrame, hosts: DataFrame, chosen: DataFrame) -> DataFrame:
+    rows = lines.select("document_id", "block_id", F.posexplode("marks").alias("line_no", "mark")).where("mark is not null").join(hosts, "document_id")
+    return rows.join(chosen.select("host", "mark"), ["host", "mark"], "left_semi").select("block_id", "line_no").distinct()
+
+
 def found_lines(blocks: DataFrame, chunks: DataFrame, min_documents: int = MIN_DOCUMENTS, min_share: float = MIN_SHARE) -> DataFrame:
     """``(block_id, line_no)`` of the lines in excess that stand in ``min_share`` of their host's documents."""
-    lines, hosts = lines_of(blocks), hosts_of(chunks)
+    lines, hosts = materialize(lines_of(blocks)), hosts_of(chunks)
     excess = repeated_lines(lines, hosts, min_documents, min_share=min_share)
-    chosen = excess.where((F.col("share") >= min_share) & (F.col("documents") >= min_documents)).select("host", "mark")
-    placed = lines.select("document_id", "block_id", "line_no", "mark").join(hosts, "document_id")
-    return placed.join(chosen, ["host", "mark"], "left_semi").select("block_id", "line_no").distinct()
+    return _placed(lines, hosts, excess.where((F.col("share") >= min_share) & (F.col("documents") >= min_documents)))
+
+
+def excess_lines(blocks: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``(block_id, line_no)`` of all lines in excess, by the ratio or by their share."""
+    lines, hosts = materialize(lines_of(blocks)), hosts_of(chunks)
+    return _placed(lines, hosts, repeated_lines(lines, hosts))
 
 
 def without_lines(blocks: DataFrame, found: DataFrame) -> DataFrame:
     """``blocks`` (rows that appear twice once) with the found lines taken out of their texts.
 
-    A block whose lines are all taken out has an empty text; blocks without such a line,
-    null texts and all other columns stay as they are.
+    The lines of the blocks concerned lose the found ones by an anti-join and come together
+    again by position. A block whose lines are all taken out has an empty text; blocks
+    without such a line, null texts and all other columns stay as they are.
     """
-    numbers = found.groupBy("block_id").agg(F.collect_set("line_no").alias("_drop"))  # at most a block's lines
-    kept = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("_drop", i))
-    clean = F.when(F.col("_drop").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return blocks.dropDuplicates().join(numbers, "block_id", "left").withColumn("text", clean).select(*blocks.columns)
+    concerned = found.select("block_id").distinct()
+    # Rows of one block_id with different texts stay apart by the text's hash.
+    rows = blocks.dropDuplicates().withColumn("_text", F.xxhash64("text"))
+    texts = rows.join(concerned, "block_id", "left_semi").where("text is not null").select("block_id", "_text", "text").dropDuplicates(["block_id", "_text"])
+    lines = texts.select("block_id", "_text", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "_line"))
+    kept = lines.join(found.select("block_id", "line_no"), ["block_id", "line_no"], "left_anti")
+    whole = kept.groupBy("block_id", "_text").agg(F.array_sort(F.collect_list(F.struct("line_no", "_line"))).alias("_kept"))  # a block's lines
+    clean = F.array_join(F.transform(F.coalesce("_kept", F.array().cast("array<struct<line_no:int,_line:string>>")), lambda x: x["_line"]), "\n")
+    marked = rows.join(concerned.withColumn("_hit", F.lit(True)), "block_id", "left").join(whole, ["block_id", "_text"], "left")
+    return marked.withColumn("text", F.when(F.col("_hit") & F.col("text").isNotNull(), clean).otherwise(F.col("text"))).select(*blocks.columns)

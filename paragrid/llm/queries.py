@@ -77,9 +77,9 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """Every block without the lines that its host repeats."""
-    blocks = table(spark, folder, "blocks")
-    cleaned = lines.without_lines(blocks, p6_found(spark, folder))
+    """Every block without the lines that its host repeats in excess of other hosts or in a quarter of its documents."""
+    blocks = table(spark, folder, "blocks").select("document_id", "block_id", "block_type", "reading_order", "text")
+    cleaned = lines.without_lines(blocks, lines.excess_lines(blocks, table(spark, folder, "chunks")))
     return cleaned.select("document_id", "block_id", "block_type", "reading_order", "text")
 
 
@@ -126,6 +126,19 @@ _WINDOWS = """windows AS (SELECT DISTINCT doc_id, start, md5(substring(text, sta
 # The white space of Unicode.
 _SPACE = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
+_ALIKE = rf"""own AS (SELECT DISTINCT document_id, block_id, reading_order, text FROM blocks WHERE block_type IS DISTINCT FROM 'table_cell' AND text IS NOT NULL AND document_id IS NOT NULL),
+            whole AS (SELECT document_id, regexp_replace(string_agg(text, chr(10) ORDER BY coalesce(reading_order, -1), block_id, text), '{_SPACE}', ' ', 'g') AS t FROM own GROUP BY 1),
+            parts AS (SELECT DISTINCT document_id, substring(t, i, 5) AS s FROM (SELECT document_id, t, unnest(range(1, length(t) - 3)) AS i FROM whole)),
+            sizes AS (SELECT document_id, count(*) AS n FROM parts GROUP BY 1),
+            both_have AS (SELECT a.document_id AS x, b.document_id AS y, count(*) AS n FROM parts a JOIN parts b ON a.s = b.s AND a.document_id < b.document_id GROUP BY 1, 2),
+    pairs AS (SELECT x, y FROM both_have p JOIN sizes a ON a.document_id = x JOIN sizes b ON b.document_id = y WHERE p.n >= 0.7 * (a.n + b.n - p.n))"""
+_LINES = r"""hosts AS (SELECT document_id, min(lower(source_host)) AS host FROM chunks WHERE source_host IS NOT NULL GROUP BY 1), sizes AS (SELECT host, count(*) AS n FROM hosts GROUP BY 1),
+    cut AS (SELECT DISTINCT document_id, block_id, line_no, line FROM (SELECT document_id, block_id, unnest(range(len(l))) AS line_no, unnest(l) AS line
+        FROM (SELECT document_id, block_id, string_split(text, chr(10)) AS l FROM blocks WHERE block_type IS DISTINCT FROM 'table_cell'))),
+    formed AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(line, '[0-9]', '', 'g'), '^[\s\p{Z}]+', ''), '[\s\p{Z}]+$', '') AS form FROM cut),
+    lettered AS (SELECT f.*, host FROM formed f JOIN hosts USING (document_id) WHERE regexp_matches(form, '\p{L}')),
+    counted AS (SELECT host, form, n, count(DISTINCT document_id) AS k FROM lettered JOIN sizes USING (host) GROUP BY 1, 2, 3)"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -136,30 +149,26 @@ def oracle_sql() -> dict[str, str]:
             found AS (SELECT doc_id, CAST(sum(own) AS BIGINT) AS own FROM covered GROUP BY 1)
             SELECT doc_id, coalesce(length(text), 0) AS n_chars, coalesce(own, 0) AS shared_chars,
             CASE WHEN length(text) > 0 THEN round(coalesce(own, 0) / length(text), 6) ELSE 0.0 END AS share FROM documents LEFT JOIN found USING (doc_id)""",
-        "p4_found": f"""WITH own AS (SELECT DISTINCT document_id, block_id, reading_order, text FROM blocks WHERE block_type IS DISTINCT FROM 'table_cell' AND text IS NOT NULL
-            AND document_id NOT IN (SELECT document_id FROM blocks GROUP BY 1 HAVING count(*) > 50 AND count(*) >= 0.08 * (SELECT count(*) FROM blocks))),
-            whole AS (SELECT document_id, regexp_replace(string_agg(text, chr(10) ORDER BY reading_order, block_id, text), '{_SPACE}', ' ', 'g') AS t FROM own GROUP BY 1),
-            parts AS (SELECT DISTINCT document_id, substring(t, i, 5) AS s FROM (SELECT document_id, t, unnest(range(1, length(t) - 3)) AS i FROM whole)),
-            sizes AS (SELECT document_id, count(*) AS n FROM parts GROUP BY 1),
-            both_have AS (SELECT a.document_id AS x, b.document_id AS y, count(*) AS n FROM parts a JOIN parts b ON a.s = b.s AND a.document_id < b.document_id GROUP BY 1, 2)
-            SELECT x AS document_id_a, y AS document_id_b FROM both_have p JOIN sizes a ON a.document_id = x JOIN sizes b ON b.document_id = y WHERE p.n >= 0.7 * (a.n + b.n - p.n)""",
-        "p6_found": """
-            WITH hosts AS (
-                SELECT document_id, min(lower(source_host)) AS host FROM chunks WHERE source_host IS NOT NULL GROUP BY 1
-            ), sizes AS (SELECT host, count(*) AS n FROM hosts GROUP BY 1),
-            cut AS (
-                SELECT DISTINCT document_id, block_id, line_no, line FROM (
-                    SELECT document_id, block_id, unnest(range(len(l))) AS line_no, unnest(l) AS line
-                    FROM (SELECT document_id, block_id, string_split(text, chr(10)) AS l FROM blocks
-                          WHERE block_type IS DISTINCT FROM 'table_cell'))
-            ), formed AS (
-                SELECT *, regexp_replace(regexp_replace(regexp_replace(line, '[0-9]', '', 'g'), '^[\\s\\p{Z}]+', ''), '[\\s\\p{Z}]+$', '') AS form FROM cut
-            ), lettered AS (SELECT f.*, host FROM formed f JOIN hosts USING (document_id) WHERE regexp_matches(form, '\\p{L}')),
-            often AS (
-                SELECT host, form FROM lettered JOIN sizes USING (host) GROUP BY host, form, n
-                HAVING count(DISTINCT document_id) >= 5 AND count(DISTINCT document_id) >= 0.25 * n
-            )
-            SELECT DISTINCT block_id, CAST(line_no AS INTEGER) AS line_no FROM lettered JOIN often USING (host, form)""",
+        "p4_found": f"WITH {_ALIKE} SELECT x AS document_id_a, y AS document_id_b FROM pairs",
+        "p6_found": f"WITH {_LINES} SELECT DISTINCT block_id, CAST(line_no AS INTEGER) AS line_no FROM lettered JOIN counted USING (host, form) WHERE k >= 5 AND k >= 0.25 * n",
+        "p6_blocks": f"""WITH {_LINES}, everything AS (SELECT count(*) AS n_all FROM hosts), whole AS (SELECT form, sum(k) AS total FROM counted GROUP BY 1),
+            r AS (SELECT host, form, CAST(k AS DOUBLE) AS k, CAST(n AS DOUBLE) AS n, CAST(total - k AS DOUBLE) AS o, CAST(n_all - n AS DOUBLE) AS m FROM counted JOIN whole USING (form), everything WHERE k >= 5),
+            p AS (SELECT *, (k + o) / (n + m) AS p FROM r),
+            g AS (SELECT *, CASE WHEN k / n > CASE WHEN m > 0 THEN o / m ELSE 0 END THEN greatest(2 * (CASE WHEN k > 0 THEN k * ln(k / (n * p)) ELSE 0 END + CASE WHEN n - k > 0 THEN (n - k) * ln((n - k) / (n * (1 - p))) ELSE 0 END
+                + CASE WHEN o > 0 THEN o * ln(o / (m * p)) ELSE 0 END + CASE WHEN m - o > 0 THEN (m - o) * ln((m - o) / (m * (1 - p))) ELSE 0 END), 0.0) ELSE 0.0 END AS g FROM p),
+            z AS (SELECT *, sqrt(greatest(g, 1e-12)) AS z, 1 / (1 + 0.2316419 * sqrt(greatest(g, 1e-12))) AS t FROM g),
+            s AS (SELECT host, form, k, n, CAST(least(round((z * z / 2 + ln(2.5066282746310002) - ln(2.0 * (t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))))) / ln(10.0) * 50), 15000) AS INT) AS step FROM z),
+            q AS (SELECT *, count(*) OVER (ORDER BY step DESC) AS rank, count(*) OVER () AS family FROM s),
+            e AS (SELECT *, min(-step / 50.0 + log10(family / rank)) OVER (ORDER BY step) AS q FROM q),
+            gone AS (SELECT DISTINCT block_id, line_no FROM lettered JOIN e USING (host, form) WHERE (q <= -2 AND k / n >= 0.05) OR k >= 0.25 * n),
+            kept AS (SELECT block_id, string_agg(line, chr(10) ORDER BY line_no) AS t FROM cut ANTI JOIN gone USING (block_id, line_no) WHERE block_id IN (SELECT block_id FROM gone) GROUP BY 1)
+            SELECT DISTINCT document_id, b.block_id, block_type, reading_order, CASE WHEN text IS NOT NULL AND block_id IN (SELECT block_id FROM gone) THEN coalesce(t, '') ELSE text END AS text
+            FROM blocks b LEFT JOIN kept USING (block_id)""",
+        "p4_groups": f"""WITH RECURSIVE {_ALIKE}, e AS (SELECT x, y FROM pairs UNION SELECT y, x FROM pairs), reach(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM reach r JOIN e ON r.y = e.x),
+            far AS (SELECT x, min(y) AS least FROM reach GROUP BY 1), size AS (SELECT t, count(*) AS copies FROM whole WHERE length(t) > 4 GROUP BY 1),
+            degree AS (SELECT e.x, count(DISTINCT b.t) AS links FROM e JOIN whole a ON a.document_id = e.x JOIN whole b ON b.document_id = e.y WHERE a.t <> b.t GROUP BY 1)
+            SELECT document_id, least(document_id, coalesce(least, document_id)) AS group_id, coalesce(copies, 1) AS copies, coalesce(links, 0) AS links
+            FROM (SELECT DISTINCT document_id FROM blocks WHERE document_id IS NOT NULL) LEFT JOIN whole USING (document_id) LEFT JOIN size USING (t) LEFT JOIN far ON far.x = document_id LEFT JOIN degree d ON d.x = document_id""",
         "p2_found": """
             SELECT DISTINCT block_id AS item_id FROM blocks WHERE block_type IS DISTINCT FROM 'table_cell' AND length(text) > 1800
             UNION SELECT chunk_id FROM chunks WHERE length(text) > 1800""",

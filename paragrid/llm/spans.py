@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paragrid.llm.expand import spread_join
 from paragrid.session import materialize
 
 LENGTH = 150
@@ -290,7 +291,7 @@ def sharing_pairs(df: DataFrame, document: str = "doc_id", text: str = "text") -
         chosen = one.select("window")
     members = materialize(rows.join(chosen, "window").distinct())
     other = members.withColumnRenamed("document", "doc_id_b")
-    pairs = members.withColumnRenamed("document", "doc_id_a").join(other, "window").where("doc_id_a < doc_id_b")
+    pairs = spread_join(members.withColumnRenamed("document", "doc_id_a"), other, ["window"], "doc_id_b").where("doc_id_a < doc_id_b")
     return pairs.select("doc_id_a", "doc_id_b").distinct()
 
 

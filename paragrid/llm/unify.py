@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paragrid.llm.expand import spread_join
 from paragrid.session import materialize
 
 # Letters of other scripts in the order of the Latin letters they look like.
@@ -153,7 +154,7 @@ def look_alike_pairs(df: DataFrame, key: str = "key", text: str = "text") -> Dat
     pairs = classes.withColumnRenamed("exact", "one").join(classes.withColumnRenamed("exact", "other"), same).where("one < other")
     left = members.select(*same, F.col("exact").alias("one"), F.col("key").alias("k1"))
     right = members.select(*same, F.col("exact").alias("other"), F.col("key").alias("k2"))
-    met = pairs.join(left, [*same, "one"]).join(right, [*same, "other"]).where("k1 <> k2")
+    met = spread_join(spread_join(pairs, left, [*same, "one"], "k1"), right, [*same, "other"], "k2").where("k1 <> k2")
     return met.select(F.least("k1", "k2").alias("key_a"), F.greatest("k1", "k2").alias("key_b")).distinct()
 
 

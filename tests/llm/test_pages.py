@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from paragrid.llm import lines, mainbody, mojibake, scans
 
 
@@ -13,6 +15,18 @@ def test_repeated_lines(spark):
     assert lines.found_lines(df.limit(0), chunks).count() == 0 and lines.found_lines(df, chunks.limit(0)).count() == 0
 
 
+def test_a_rare_line_goes_by_the_ratio_alone(spark):
+    own = [(f"d{n}", f"d{n}:0", "paragraph", f"본문 {chr(0xAC00 + n)}이다" + ("\n쿠키를 저장합니다." if n < 20 else "")) for n in range(200)]
+    other = [(f"e{n}", f"e{n}:0", "paragraph", f"글 {chr(0xB000 + n)}이다" + ("\n모두의 줄" if n % 2 else "")) for n in range(400)]
+    df = spark.createDataFrame(own + other, "document_id string, block_id string, block_type string, text string")
+    chunks = spark.createDataFrame([(r[0], r[0][0]) for r in own + other], "document_id string, source_host string")
+    assert lines.found_lines(df, chunks).where("block_id like 'd%'").count() == 0
+    cleaned = {r.block_id: r.text for r in lines.without_lines(df, lines.excess_lines(df, chunks)).collect()}
+    assert cleaned["d3:0"] == own[3][3].split("\n")[0] and cleaned["e1:0"] == other[1][3].split("\n")[0] and len(cleaned) == 600
+    common = df.withColumn("text", F.concat("text", F.lit("\n어디나 있는 줄")))
+    assert lines.repeated_lines(lines.lines_of(common.where("document_id <> 'd1'")), lines.hosts_of(chunks)).where("log10_q <= -2").count() == 1
+
+
 def test_main_body(spark):
     rows = []
     for n in range(12):

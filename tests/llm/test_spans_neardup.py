@@ -1,4 +1,5 @@
 import random
+import re
 
 from paragrid.llm import neardup, spans
 
@@ -77,3 +78,30 @@ def test_large_buckets_meet_in_blocks(spark, monkeypatch):
     rows = [(f"k{n:02d}", f"k{n}:0", "paragraph", 0, base + f" 끝{n}") for n in range(14)]
     df = spark.createDataFrame(rows, "document_id string, block_id string, block_type string, reading_order int, text string")
     assert neardup.alike_pairs(df).count() == 14 * 13 // 2
+
+
+BLOCKS = "document_id string, block_id string, block_type string, reading_order int, text string"
+
+
+def test_documents_of_many_blocks_are_kept(spark):
+    rows = [(f"k{n}", f"k{n}:{i}", "paragraph", i, f"제{i}조 내용은 다음과 같다 {i * 7}") for n in range(10) for i in range(60)]
+    df = spark.createDataFrame(rows, BLOCKS)
+    assert neardup.alike_pairs(df).count() == 45
+    groups = neardup.groups(df.union(spark.createDataFrame([("none", "n:0", "table_cell", 0, "x"), ("short", "s:0", "paragraph", 0, "가")], BLOCKS))).collect()
+    assert len(groups) == 12 and len({r.group_id for r in groups}) == 3
+
+
+def test_large_documents_are_measured_in_parts(spark, monkeypatch):
+    random.seed(4)
+    lines = [" ".join(random.choice("가나다라마바사아자차카") * random.randint(1, 4) for _ in range(6)) for _ in range(120)]
+    changed = lines[:100] + [f"새로운 조문 {n} " for n in range(8)]
+    odd = ["", " ", "가", "  나", "다 ", "라"] + lines + ["끝", " "]
+    texts = {"a": lines, "b": changed, "c": odd, "d": list(lines), "e": [f"다른 글 {n * n}" for n in range(90)]}
+    rows = [(k, f"{k}:{i:04d}", "paragraph", i if i % 9 else None if i == 0 else i, t) for k, v in texts.items() for i, t in enumerate(v)]
+    df = spark.createDataFrame(rows + rows[:5], BLOCKS)
+    plain = {tuple(r) for r in neardup.alike_pairs(df).collect()}
+    monkeypatch.setattr(neardup, "LARGE_BLOCKS", 95)
+    monkeypatch.setattr(neardup, "GROUP_CHARS", 200)
+    assert {tuple(r) for r in neardup.alike_pairs(df).collect()} == plain and ("a", "d") in plain and ("a", "b") in plain
+    whole = {k: re.sub(r"\s+", " ", "\n".join(v)) for k, v in texts.items()}
+    assert plain == {(x, y) for x in whole for y in whole if x < y and _likeness(whole[x], whole[y]) >= 0.7}
