@@ -2,7 +2,8 @@
 
 ``consistent`` is the comparison form: compatibility normalisation composed, full case
 folding, white space mapped, default-ignorable characters removed, look-alike letters,
-hyphens and dots unified. ``appearance`` is stricter: it unifies only what a reader
+hyphens and dots unified. It is the same for a letter's two cases, so a small letter goes
+with what its capital looks like, but for those in ``OWN_LOOK``. ``appearance`` is stricter: it unifies only what a reader
 cannot tell apart (case, superscripts, circled digits and widths of space stay), so it
 decides whether two texts of one consistent form are really the same on the page.
 Both are computed once for each distinct value of a batch.
@@ -26,12 +27,19 @@ from paragrid.session import materialize
 
 # Letters of other scripts in the order of the Latin letters they look like.
 LOOK_ALIKES = {
-    "Cyrillic": ("АВСЕНІЈКМОРЅТХУԚԜҮасеіјорѕхуһԛԝԁӏ", "ABCEHIJKMOPSTXYQWYaceijopsxyhqwdl"),
-    "Greek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϲϳ", "ABEZHIKMNOPTYXovcj"),
+    "Cyrillic": ("АВСЕНІЈКМОРЅТХУԚԜҮѴасеіјорѕхуһԛԝԁӏѵ", "ABCEHIJKMOPSTXYQWYVaceijopsxyhqwdlv"),
+    "Greek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿονϲϳ", "ABEZHIKMNOPTYXCJovcj"),
+    "Armenian": ("ՍՏՕԼսօոհցզյ", "USOLuonhgqj"),
+    "Latin": ("ɑɡı", "agi"),
 }
+# Small letters that keep their own look though their capitals look like Latin ones: Greek mu stands for
+# micro, and nu and palochka look like v and l where their capitals look like N and I.
+OWN_LOOK = "μνӏ"
 # Hyphens and middle dots that look like "-" and "·".
 HYPHENS = "‐‑﹣－⁃˗−"
-DOTS = "·‧∙⋅・･ㆍᐧ"
+DOTS = "·‧∙⋅・･ㆍᐧ⸱ꞏ"
+# White space besides the separators that is one space in the comparison form; a line feed stays.
+CONTROL_SPACE = "\t\v\f\r\x1c\x1d\x1e\x1f\x85"
 # Ranges of default-ignorable characters.
 IGNORABLE = (
     "\\u00ad\\u034f\\u061c\\u115f\\u1160\\u17b4\\u17b5\\u180b-\\u180f\\u200b-\\u200f\\u202a-\\u202e\\u2060-\\u206f"
@@ -82,16 +90,31 @@ def appearance(text: str) -> str:
 @lru_cache(maxsize=1)
 def _space_table() -> dict[int, str | None]:
     letters = range(0x370, 0x530)
-    return {c: t for c, t in _appearance_table().items() if t is None or t == " " or c in letters} | _look_alikes()
+    spaces = {ord(c): " " for c in CONTROL_SPACE}
+    return {c: t for c, t in _appearance_table().items() if t is None or t == " " or c in letters} | _look_alikes() | spaces
+
+
+@lru_cache(maxsize=1)
+def _small_table() -> dict[int, str]:
+    """What small letters are in the comparison form: their own look, else their capital's in small, marks kept."""
+    alike = _look_alikes()
+    table = {code: char for code, char in alike.items() if char.islower()}
+    for code in (*range(0x370, 0x590), *alike):
+        base, *marks = unicodedata.normalize("NFD", chr(code))
+        capital = base.upper()
+        if base.islower() and base not in OWN_LOOK and ord(base) not in alike and len(capital) == 1 and ord(capital) in alike:
+            table[code] = unicodedata.normalize("NFC", alike[ord(capital)].lower() + "".join(marks))
+    return table | {c: m for c, m in alike.items() if m in "-·"}
 
 
 def consistent(text: str) -> str:
     """The comparison form, made from the appearance, so that what looks the same has one form; idempotent."""
-    if _PLAIN.search(text):
-        text = appearance(text)  # first: NFKC would turn a look-alike such as U+318D or U+03F2 into another letter
-        text = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).translate(_space_table()))
-        return unicodedata.normalize("NFKC", text.casefold()).translate(_look_alikes())
-    return text.casefold()
+    if not _PLAIN.search(text):
+        return text.casefold().replace("\t", " ")
+    text = appearance(text)  # first: NFKC would turn a look-alike such as U+318D or U+03F2 into another letter
+    text = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).translate(_space_table()))
+    small = unicodedata.normalize("NFKC", text.casefold()).translate(_small_table())
+    return unicodedata.normalize("NFC", small)
 
 
 def _on_distinct(function: Callable[[str], object], kind: pa.DataType, column: pa.Array) -> pa.Array:

@@ -1,3 +1,4 @@
+import unicodedata
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -52,3 +53,18 @@ def test_equal_appearance_has_one_form(spark):
     rows = [("a", "가\u318d나"), ("b", "가\u00b7나"), ("c", "\u03f2at"), ("d", "cat")]
     df = spark.createDataFrame(rows, "key string, text string")
     assert {tuple(r) for r in unify.look_alike_pairs(df).collect()} == {("a", "b"), ("c", "d")}
+
+
+def test_the_form_is_blind_to_case_and_idempotent():
+    assert unify.consistent("МОСКВА") == unify.consistent("москва") == "mockba"
+    assert unify.consistent("ΝΟΤΕ") == unify.consistent("NOTE") == "note" and unify.consistent("ΑΒΓ") == unify.consistent("αβγ")
+    assert unify.consistent("5 µm") != unify.consistent("5 mm")
+    for code in (*range(0x370, 0x590), *range(0x1C80, 0x1C8A)):
+        c = chr(code)
+        if not any(f in unify.OWN_LOOK for f in (c.casefold(), unicodedata.normalize("NFKC", c).casefold())):
+            assert unify.consistent(c) == unify.consistent(c.upper()) == unify.consistent(c.lower()), c
+    for code in range(0x20, 0x30000):
+        if not 0xD800 <= code < 0xE000:
+            once = unify.consistent(f"a{chr(code)}b")
+            assert unify.consistent(once) == once, hex(code)
+    assert unify.consistent("a\tb\rc\x85d\u3000e\nf") == "a b c d e\nf"
