@@ -86,7 +86,7 @@ def p6_blocks(spark: SparkSession, folder: str) -> DataFrame:
 def p7_restored(spark: SparkSession, folder: str) -> DataFrame:
     """The restored text of every block that was read with a wrong encoding."""
     blocks = table(spark, folder, "blocks")
-    return mojibake.restored_blocks(blocks, mojibake.word_counts(blocks))
+    return mojibake.restored_blocks(blocks, *mojibake.word_counts(blocks))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -56,6 +56,40 @@ def test_restores_text():
         assert damaged and restored == text, restored
 
 
+def test_long_spans_are_restored_whole():
+    language = _language()
+    for wrong in (("학생은" * 200).encode().decode("latin-1"), ("학생은" * 200).encode("euc-kr").decode("latin-1"), ("학생은" * 200).encode().decode("gbk", "replace")):
+        restored, damaged = mojibake.restore(wrong, language)
+        assert damaged and restored == "학생은" * 200
+
+
+def test_lost_bytes_are_found_by_words_and_pairs():
+    language = _language()
+    for text, wrong in (("건강검진", "latin-1"), ("제출하여야", "latin-1"), ("있습니다", "latin-1")):
+        raw = list(text.encode().decode(wrong))
+        for lost in ((1,), (0, 1, 2), (2, 4, 8)):
+            shown = "".join(mojibake.LOST if n in lost else c for n, c in enumerate(raw))
+            assert mojibake.restore(shown, language) == (text, True), (text, lost)
+    assert mojibake.restore("학생은 합격자는".encode("euc-kr").decode("utf-8", "replace"), mojibake.Language({"학생은": 5, "합격자는": 9}))[0].endswith("합격자는")
+
+
+def test_question_marks_that_follow_no_word_are_damage():
+    language = _language()
+    assert mojibake.restore("?? ??? 1?? ????", language) == ("?? ??? 1?? ????", True)
+    for text in ("정말요?? 네!!", "why?", "(가)?? 나"):
+        assert mojibake.restore(text, language) == (text, False)
+
+
+def test_lattice_search_equals_all_readings():
+    language = mojibake.Language({"가나": 5, "나다": 3, "다": 2, "가다나": 1})
+    raw = [*"가나다".encode("cp949")]
+    for lost in ((0,), (3,), (0, 1), (1, 2), (4, 5)):
+        seen = [None if n in lost else b for n, b in enumerate(raw)]
+        score, read = mojibake.viterbi(seen, "cp949", language)
+        fits = [t for t in (a + b + c for a in "가나다" for b in "가나다" for c in "가나다") if all(x in (None, y) for x, y in zip(seen, t.encode("cp949")))]
+        assert max(language.score(t) for t in fits) <= score + 1e-9 and read in fits
+
+
 def test_sound_text_stays():
     language = _language()
     for text in ("年度 및 論文에 관한 café, naïve, Übung", "온도 20°C · 100±5", " 학생은", "can’t – “ok”", "", "ⓒ 2024"):
