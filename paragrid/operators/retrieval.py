@@ -1,4 +1,4 @@
-"""Inverted index, exact dense search, fusion, re-ranking and diversity, keyed by query."""
+"""Questions, exact dense search, fusion, re-ranking and diversity, keyed by query."""
 
 from __future__ import annotations
 
@@ -11,54 +11,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paragrid.functions import text as text_functions
-from paragrid.session import materialize
 
-K1, B, FUSION_K = 1.2, 0.75, 60
+FUSION_K = 60
 QUERY_TERMS = 32
 ROW_BLOCK, QUERY_BLOCK = 2_048, 256
 
 
-def tokens(documents: DataFrame, key: str, text: Column) -> DataFrame:
-    """``(key, length, terms)``: the terms of each document that has any, and how many."""
-    found = documents.select(F.col(key), text_functions.term_bag(text).alias("terms")).where(F.size("terms") > 0)
-    return found.select(key, F.size("terms").cast("long").alias("length"), "terms")
-
-
-def postings(tokenised: DataFrame, key: str, only: DataFrame | None = None) -> DataFrame:
-    """``(key, term, length, tf)``: a row for each document and term, limited to the terms of ``only`` if given."""
-    rows = tokenised.select(key, "length", F.explode("terms").alias("term"))
-    if only is not None:
-        rows = rows.join(only.select("term").distinct(), "term", "left_semi")
-    # A document's rows lie together, so the map side combines nearly all of them.
-    return rows.groupBy(key, "term", "length").agg(F.count("*").alias("tf"))
-
-
 def query_terms(queries: DataFrame, key: str, text: Column) -> DataFrame:
     """``(key, term)``: the first ``QUERY_TERMS`` distinct terms of each query."""
     distinct = F.slice(F.array_distinct(text_functions.search_terms(text)), 1, QUERY_TERMS)
     return queries.select(F.col(key), F.explode(distinct).alias("term"))
 
 
-def bm25(tokenised: DataFrame, asked: DataFrame, document: str, query: str, allowed: DataFrame | None = None) -> DataFrame:
-    """``(query, document, score)`` of every document that holds a term of the query.
-
-    The inverse document frequency and the mean length are those of the whole index,
-    also if ``allowed`` (documents) limits the answers. The score is rounded to six
-    places so that ties are ties everywhere.
-    """
-    totals = tokenised.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
-    n, mean = totals["n"], totals["mean"] or 1.0
-    # Only terms that are asked for go on; their frequencies come from the same rows.
-    wanted = materialize(postings(tokenised, document, asked))
-    frequency = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    weighted = asked.join(frequency.select("term", idf.alias("idf")), "term")
-    rows = wanted if allowed is None else wanted.join(allowed.select(document), document, "left_semi")
-    tf = F.col("tf").cast("double")
-    gain = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / mean))
-    return rows.join(weighted, "term").groupBy(query, document).agg(F.round(F.sum(gain), 6).alias("score"))
-
-
 def top(ranked: DataFrame, query: str, key: str, k: int, score: str = "score") -> DataFrame:
     """The ``k`` best rows of each query with their rank, ties by key."""
     order = W.partitionBy(query).orderBy(F.desc(score), key)

@@ -8,6 +8,7 @@ from paragrid.functions import text
 from paragrid.operators import evaluation, grounding
 from paragrid.plans import search
 from paragrid.plans.texts import FACTS
+from paragrid.session import materialize
 from paragrid.sources.tables import table
 
 
@@ -33,8 +34,8 @@ def category_precision(spark, folder):
 
 
 def rank_changes(spark, folder):
-    before = search.ranked(spark, folder, 10).select("query_id", "doc_id", "rank")
-    return evaluation.rank_changes(before, search.lexical_rerank(spark, folder), "query_id", "doc_id")
+    first = materialize(search.ranked(spark, folder, 20).select("query_id", "doc_id", "rank"))
+    return evaluation.rank_changes(first.where("rank <= 10"), search.reranked(spark, folder, first), "query_id", "doc_id")
 
 
 def latency_quantiles(spark, folder):

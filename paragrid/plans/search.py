@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paragrid.functions import text
-from paragrid.operators import retrieval
+from paragrid.operators import index, retrieval
 from paragrid.plans.texts import SEARCH_TERMS
+from paragrid.session import materialize
 from paragrid.sources.tables import spread, table
 
 
@@ -14,13 +16,16 @@ def _documents(spark, folder):
     return spread(table(spark, folder, "documents").select("doc_id", "text", "title", "source", "lang", "category"))
 
 
-def _tokens(spark, folder):
+def _index(spark, folder):
+    """The inverted index of all documents, built once for a state of their table."""
     fields = F.concat_ws("\n", F.col("title"), F.col("category"), F.col("text"))
-    return retrieval.tokens(_documents(spark, folder), "doc_id", fields)
+    make = lambda target: index.build(_documents(spark, folder), "doc_id", fields, target)
+    return index.load(spark, index.kept(spark, [f"{folder}/documents.parquet"], "documents", make))
 
 
-def _index(spark, folder):
-    return retrieval.postings(_tokens(spark, folder), "doc_id")
+def _vectors(spark, folder):
+    make = lambda target: index.build_dense(table(spark, folder, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", target)
+    return index.load_dense(spark, index.kept(spark, [f"{folder}/embeddings.parquet"], "embeddings", make))
 
 
 def _asked(spark, folder):
@@ -28,8 +33,8 @@ def _asked(spark, folder):
     return retrieval.query_terms(queries, "query_id", F.col("title"))
 
 
-def ranked(spark, folder, k=40):
-    found = retrieval.bm25(_tokens(spark, folder), _asked(spark, folder), "doc_id", "query_id")
+def ranked(spark, folder, k=40, allowed=None):
+    found = index.bm25(_index(spark, folder), _asked(spark, folder), "query_id", allowed=allowed)
     return retrieval.top(found, "query_id", "doc_id", k)
 
 
@@ -38,11 +43,26 @@ def _heads(spark, folder):
 
 
 def postings_lists(spark, folder):
-    return _index(spark, folder).groupBy("term").agg(F.count("*").alias("documents"), F.sum("tf").alias("occurrences"))
+    return _index(spark, folder).terms.select("term", F.col("df").alias("documents"), F.col("cf").alias("occurrences"))
 
 
 def doc_stats(spark, folder):
-    return _index(spark, folder).groupBy("doc_id").agg(F.first("length").alias("length"), F.count("*").alias("n_terms"))
+    return _index(spark, folder).lengths.select("doc_id", "length", "n_terms")
+
+
+def index_verify(spark, folder):
+    return index.verify(_index(spark, folder))
+
+
+def index_stats(spark, folder):
+    own = _index(spark, folder)
+    terms = own.terms.agg(F.count("*").alias("terms"), F.sum("df").alias("postings"), F.sum("cf").alias("occurrences"), F.max("df").alias("most_documents"), F.lit(1).alias("one"))
+    lengths = own.lengths.agg(F.count("*").alias("documents"), F.round(F.avg("length"), 6).alias("mean_length"), F.max("length").alias("longest"), F.lit(1).alias("one"))
+    return terms.join(lengths, "one").drop("one")
+
+
+def dense_alignment(spark, folder):
+    return index.aligned(table(spark, folder, "embeddings"), _vectors(spark, folder), "vec_id")
 
 
 def bm25_topk(spark, folder):
@@ -51,8 +71,7 @@ def bm25_topk(spark, folder):
 
 def bm25_filtered_global_idf(spark, folder):
     allowed = _documents(spark, folder).where("lower(lang) = 'en'")
-    found = retrieval.bm25(_tokens(spark, folder), _asked(spark, folder), "doc_id", "query_id", allowed)
-    return retrieval.top(found, "query_id", "doc_id", 5).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+    return ranked(spark, folder, 5, allowed).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def document_diverse(spark, folder):
@@ -65,25 +84,28 @@ def document_diverse_backfill(spark, folder):
     return retrieval.diverse(rows, "query_id", "source", 20, 1, backfill=True).select("query_id", "doc_id", "source", F.col("rank").cast("long").alias("rank"))
 
 
-def _rescored(spark, folder):
+def _rescored(spark, folder, first):
+    """The rows of ``first`` (ranked once by the caller) with their lexical score."""
     titles = _documents(spark, folder).where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("title").alias("question"))
-    rows = ranked(spark, folder, 20).join(_heads(spark, folder), "doc_id").join(titles, "query_id")
+    rows = first.join(_heads(spark, folder), "doc_id").join(titles, "query_id")
     score = retrieval.lexical_score(F.col("question"), F.coalesce("text", F.lit("")), F.coalesce("title", F.lit("")), F.col("rank"))
     return rows.select("query_id", "doc_id", F.col("rank").alias("first_rank"), score.alias("score"))
 
 
-def lexical_rerank(spark, folder):
-    from pyspark.sql import Window as W
-
+def reranked(spark, folder, first, k=10):
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "first_rank")
-    rows = _rescored(spark, folder).withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 10")
+    rows = _rescored(spark, folder, first).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
     return rows.select("query_id", "doc_id", "score", "rank")
 
 
+def lexical_rerank(spark, folder):
+    return reranked(spark, folder, ranked(spark, folder, 20))
+
+
 def rrf_fusion(spark, folder):
-    lexical = ranked(spark, folder, 20).select("query_id", "doc_id", "rank")
-    order_by_score = retrieval.top(_rescored(spark, folder).select("query_id", "doc_id", "score"), "query_id", "doc_id", 20).select("query_id", "doc_id", "rank")
-    fused = retrieval.fused_order(retrieval.fuse({"bm25": lexical, "lexical": order_by_score}, "query_id", "doc_id"), "query_id", "doc_id")
+    first = materialize(ranked(spark, folder, 20).select("query_id", "doc_id", "rank"))  # ranked once for both lanes
+    order_by_score = retrieval.top(_rescored(spark, folder, first).select("query_id", "doc_id", "score"), "query_id", "doc_id", 20).select("query_id", "doc_id", "rank")
+    fused = retrieval.fused_order(retrieval.fuse({"bm25": first, "lexical": order_by_score}, "query_id", "doc_id"), "query_id", "doc_id")
     return fused.where("rank <= 10").select("query_id", "doc_id", "score", "best_rank", "lanes", F.col("rank").cast("long").alias("rank"))
 
 
@@ -103,7 +125,7 @@ def hashing_embed(spark, folder):
 
 
 def dense_topk_cosine(spark, folder):
-    rows = table(spark, folder, "embeddings")
+    rows = _vectors(spark, folder)
     found = retrieval.dense_top(rows, rows.where("vec_id % 20 = 0"), "vec_id", "embedding", 10)
     return found.select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
 
@@ -117,7 +139,7 @@ def dense_filtered(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        postings_lists, doc_stats, bm25_topk, bm25_filtered_global_idf, document_diverse, document_diverse_backfill, lexical_rerank,
+        postings_lists, doc_stats, index_verify, index_stats, dense_alignment, bm25_topk, bm25_filtered_global_idf, document_diverse, document_diverse_backfill, lexical_rerank,
         rrf_fusion, stable_demotion, ends_first_order, hashing_embed, dense_topk_cosine, dense_filtered,
     )
 }
@@ -154,6 +176,11 @@ _COSINE = """SELECT * FROM (SELECT query_id, vec_id, score, row_number() OVER (P
 SQL = {
     "postings_lists": f"WITH {_INDEX} SELECT term, count(*) AS documents, sum(tf) AS occurrences FROM posting GROUP BY 1",
     "doc_stats": f"WITH {_INDEX} SELECT doc_id, max(length) AS length, count(*) AS n_terms FROM posting GROUP BY 1",
+    "index_verify": "SELECT 0 AS wrong_terms, 0 AS empty_postings, 0 AS repeated_postings, 0 AS wrong_lengths, 0 AS wrong_documents",
+    "index_stats": f"""WITH {_INDEX}, t AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM posting GROUP BY 1), d AS (SELECT doc_id, max(length) AS length FROM posting GROUP BY 1)
+        SELECT * FROM (SELECT count(*) AS terms, CAST(sum(df) AS BIGINT) AS postings, CAST(sum(cf) AS BIGINT) AS occurrences, max(df) AS most_documents FROM t),
+        (SELECT count(*) AS documents, round(avg(length), 6) AS mean_length, max(length) AS longest FROM d)""",
+    "dense_alignment": "SELECT 0 AS missing, 0 AS extra",
     "bm25_topk": f"WITH {_PLAIN} SELECT query_id, doc_id, score, rank FROM ranked WHERE rank <= 10",
     "bm25_filtered_global_idf": f"WITH {_RANKED.format('WHERE doc_id IN (SELECT doc_id FROM documents WHERE lower(lang) = ' + chr(39) + 'en' + chr(39) + ')')} SELECT query_id, doc_id, score, rank FROM ranked WHERE rank <= 5",
     "document_diverse": f"""WITH {_PLAIN}, placed AS (SELECT query_id, doc_id, source, r.rank AS old, row_number() OVER (PARTITION BY query_id, source ORDER BY r.rank) AS n

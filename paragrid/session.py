@@ -13,6 +13,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -26,18 +27,26 @@ def build_session(app: str = "paragrid", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, which all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; only a session on one machine
+    It is the session's ``spark.checkpoint.dir``; only a session on one machine
     without that setting (tests) gets a temporary folder of its own.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
+    context = spark.sparkContext
+    held = context._jsc.sc().getCheckpointDir()
+    if held.isEmpty():
         folder = context.getConf().get("spark.checkpoint.dir")
         if not folder:
             if not re.match(r"local(\[|$)", context.master):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="paragrid-checkpoint-")
         context.setCheckpointDir(folder)
+        held = context._jsc.sc().getCheckpointDir()
+    return held.get()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

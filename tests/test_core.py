@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paragrid.functions import ids, text, urls
-from paragrid.operators import chunking, curation, evaluation, retrieval
+from paragrid.operators import chunking, curation, evaluation, index, retrieval
 from paragrid.sources import parsing, sinks
 
 
@@ -39,12 +39,23 @@ def test_urls_and_ids(spark):
     assert values(spark, lambda c: urls.within(c, F.lit("b.kr")), "a.b.kr", "B.kr", "ab.kr") == [True, True, False]
 
 
-def test_bm25_ties_and_empty(spark):
+def test_bm25_ties_and_empty(spark, tmp_path, monkeypatch):
     docs = spark.createDataFrame([(1, "학교 안내"), (2, "학교 안내"), (3, "공지"), (4, None), (5, "")], "doc int, body string")
-    tokens = retrieval.tokens(docs, "doc", F.col("body"))
+    made = lambda rows, name: index.build(rows, "doc", F.col("body"), str(tmp_path / name))
+    assert made(docs, "i") and not made(docs, "i")
+    own = index.load(spark, str(tmp_path / "i"))
+    assert set(index.verify(own).first()) == {0} and own.documents == 3
+    for rows in (docs.union(docs), docs.where("doc > 3")):
+        with pytest.raises(ValueError):
+            made(rows, "bad")
+        with pytest.raises(FileNotFoundError):
+            index.load(spark, str(tmp_path / "bad"))
     asked = retrieval.query_terms(spark.createDataFrame([(9, "학교"), (8, "")], "query int, q string"), "query", F.col("q"))
-    found = retrieval.top(retrieval.bm25(tokens, asked, "doc", "query"), "query", "doc", 5).collect()
-    assert [(r.query, r.doc, r.rank) for r in sorted(found, key=lambda r: r.rank)] == [(9, 1, 1), (9, 2, 2)]
+    for most, rows in ((index.BROADCAST_ASKED, index.TERM_ROWS), (0, 1)):  # both plans
+        monkeypatch.setattr(index, "BROADCAST_ASKED", most)
+        monkeypatch.setattr(index, "TERM_ROWS", rows)
+        found = retrieval.top(index.bm25(own, asked, "query"), "query", "doc", 5).collect()
+        assert [(r.query, r.doc, r.rank) for r in sorted(found, key=lambda r: r.rank)] == [(9, 1, 1), (9, 2, 2)]
 
 
 def test_fusion_and_diversity(spark):
