@@ -17,13 +17,19 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from paragrid.functions.text import TERM
 from paragrid.session import shared_folder
 from paragrid.sources import sinks
 
 VERSION = 1
+# The parameters of the ranking function.
+K1, B = 1.2, 0.75
+#: Scores of documents and queries held at once.
+CELLS = 4_000_000
 #: Rows of one term that meet a question in one task.
 TERM_ROWS = 200_000
 #: Questions' terms up to this number of rows are sent to all tasks.
@@ -128,7 +134,7 @@ def verify(index: Index) -> DataFrame:
     return terms.select("*", one).join(lengths.select("*", one), "_one").drop("_one")
 
 
-def bm25(index: Index, asked: DataFrame, query: str, k1: float = 1.2, b: float = 0.75, allowed: DataFrame | None = None) -> DataFrame:
+def bm25(index: Index, asked: DataFrame, query: str, allowed: DataFrame | None = None) -> DataFrame:
     """``(query, key, score)`` of every document that holds a term of the query ``(query, term)``.
 
     Frequencies and the mean length are those of the whole index, also if ``allowed``
@@ -152,10 +158,79 @@ def bm25(index: Index, asked: DataFrame, query: str, k1: float = 1.2, b: float =
         salted = rows.join(known.select("term", "_parts"), "term").withColumn("_part", F.pmod(F.xxhash64(index.key), F.col("_parts")).cast("int")).drop("_parts")
         met = salted.join(weighted.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts"), ["term", "_part"])
     tf = F.col("tf").cast("double")
-    gain = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / index.mean))
+    gain = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / index.mean))
     return met.groupBy(query, index.key).agg(F.round(F.sum(gain), 6).alias("score"))
 
 
+def best(index: Index, asked: DataFrame, query: str, k: int, allowed: DataFrame | None = None) -> DataFrame:
+    """``(query, key, score, rank)``: the ``k`` best documents of each query, ties by key; scores as of :func:`bm25`.
+
+    Up to ``BROADCAST_ASKED`` rows of ``asked`` go to all tasks: each holds whole documents, scores
+    them against all queries as one matrix after another of ``CELLS`` cells, and passes on
+    its ``k`` best of each query, so only those are exchanged. Beyond that number :func:`bm25` is ranked.
+    """
+    order = W.partitionBy(query).orderBy(F.desc("score"), index.key)
+    ranked = lambda rows: rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    rows = asked.select(query, "term").distinct()
+    if rows.limit(BROADCAST_ASKED + 1).count() > BROADCAST_ASKED:
+        return ranked(bm25(index, asked, query, allowed=allowed))
+    idf = F.greatest(F.log((F.lit(index.documents) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    held = index.terms.select("term", idf.alias("idf")).join(F.broadcast(rows), "term").toPandas()  # at most ``BROADCAST_ASKED`` rows
+    if not len(held):
+        return ranked(bm25(index, asked, query, allowed=allowed))
+    names, queries = np.unique(held[query].to_numpy(), return_inverse=True)
+    terms = {}
+    for term, group in held.assign(_q=queries).groupby("term"):
+        terms[term] = group["_q"].to_numpy(), float(group["idf"].iloc[0])
+    sent = index.postings.sparkSession.sparkContext.broadcast((names, terms))
+    own = index.postings.join(F.broadcast(rows.select("term").distinct()), "term", "left_semi")
+    if allowed is not None:
+        own = own.join(allowed.select(index.key), index.key, "left_semi")
+    kinds = to_arrow_type(asked.schema[query].dataType), to_arrow_type(index.postings.schema[index.key].dataType)
+    mean, key = index.mean, index.key
+
+    def scored(keys: np.ndarray, gains: np.ndarray, words: list[str]) -> pa.RecordBatch:
+        """The best documents of some whole documents' postings."""
+        names, terms = sent.value
+        documents, at = np.unique(keys, return_inverse=True)
+        asking = [terms[w] for w in words]
+        count = np.array([len(q) for q, _ in asking])
+        cells = np.repeat(at * len(names), count) + np.concatenate([q for q, _ in asking])
+        weight = np.repeat(gains * np.array([idf for _, idf in asking]), count)
+        grid = np.round(np.bincount(cells, weight, len(documents) * len(names)), 6).reshape(len(documents), len(names)).T
+        some = np.zeros(len(documents) * len(names), bool)
+        some[cells] = True
+        some = some.reshape(len(documents), len(names)).T
+        if grid.shape[1] > k:  # all at least as good as the k-th, ties included
+            least = -np.partition(-grid, k - 1, axis=1)[:, k - 1 : k]
+            some &= grid >= least
+        q, d = np.nonzero(some)
+        return pa.RecordBatch.from_arrays([pa.array(names[q]).cast(kinds[0]), pa.array(documents[d]).cast(kinds[1]), pa.array(grid[q, d])], [query, key, "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = max(1, CELLS // len(sent.value[0]))
+        keys, gains, words = [], [], []
+        seen: set = set()
+        for batch in batches:
+            own_keys = batch.column(0).to_pylist()
+            tf, length = batch.column(2).to_numpy().astype(float), batch.column(3).to_numpy().astype(float)
+            gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+            for document, word, g in zip(own_keys, batch.column(1).to_pylist(), gain.tolist()):
+                if document not in seen and len(seen) >= size:
+                    yield scored(np.array(keys), np.array(gains), words)
+                    keys, gains, words, seen = [], [], [], set()
+                seen.add(document)
+                keys.append(document)
+                gains.append(g)
+                words.append(word)
+        if keys:
+            yield scored(np.array(keys), np.array(gains), words)
+
+    whole = own.select(key, "term", "tf", "length").repartition(key).sortWithinPartitions(key)
+    shape = f"`{query}` {dict(asked.dtypes)[query]}, `{key}` {dict(index.postings.dtypes)[key]}, score double"
+    return ranked(whole.mapInArrow(run, shape))
+
+
 def kept(spark: SparkSession, sources: list[str], name: str, make: Callable[[str], object]) -> str:
     """The folder of an index of ``sources`` (paths) in the session's shared folder, made by ``make`` if it is not there.
 

@@ -34,8 +34,7 @@ def _asked(spark, folder):
 
 
 def ranked(spark, folder, k=40, allowed=None):
-    found = index.bm25(_index(spark, folder), _asked(spark, folder), "query_id", allowed=allowed)
-    return retrieval.top(found, "query_id", "doc_id", k)
+    return index.best(_index(spark, folder), _asked(spark, folder), "query_id", k, allowed)
 
 
 def _heads(spark, folder):

@@ -56,6 +56,10 @@ def test_bm25_ties_and_empty(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(index, "TERM_ROWS", rows)
         found = retrieval.top(index.bm25(own, asked, "query"), "query", "doc", 5).collect()
         assert [(r.query, r.doc, r.rank) for r in sorted(found, key=lambda r: r.rank)] == [(9, 1, 1), (9, 2, 2)]
+        for cells in (index.CELLS, 1):
+            monkeypatch.setattr(index, "CELLS", cells)
+            assert [(r.query, r.doc, r.rank) for r in index.best(own, asked, "query", 1).collect()] == [(9, 1, 1)]
+        assert index.best(own, asked.where("query = 8"), "query", 1).count() == 0
 
 
 def test_fusion_and_diversity(spark):
