@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paragrid.plans import corpus, events, evidence, measures, search, sources, texts
+from paragrid.plans import context, corpus, events, evidence, facts, measures, search, sources, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-_PLANS = (texts, search, corpus, measures, evidence, events, sources)
+_PLANS = (texts, facts, search, context, corpus, measures, evidence, events, sources)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

@@ -39,8 +39,8 @@ def _block(rows: DataFrame, key: str, vector: str, size: int) -> DataFrame:
     return placed.groupBy("block").agg(F.collect_list(F.struct("key", "vector")).alias("rows"))  # about ``size`` of them
 
 
-def dense_top(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """``(query_id, vec_id, score, rank)``: the ``k`` rows of highest cosine for each query, itself left out.
+def dense_top(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int, itself: bool = False) -> DataFrame:
+    """``(query_id, vec_id, score, rank)``: the ``k`` rows of highest cosine for each query, left out itself unless ``itself``.
 
     Both sides lie in blocks; each pair of blocks is one product of matrices, whose best
     ``k`` go on. Null vectors are in no row; a zero vector has the cosine 0.
@@ -58,7 +58,8 @@ def dense_top(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int
                 keys = np.array([r["key"] for r in data_rows])
                 ask = np.array([r["key"] for r in asked_rows])
                 scores = np.round(unit(np.array([r["vector"] for r in asked_rows])) @ unit(np.array([r["vector"] for r in data_rows])).T, 6)
-                scores[ask[:, None] == keys[None, :]] = -2.0
+                if not itself:
+                    scores[ask[:, None] == keys[None, :]] = -2.0
                 out = []
                 for i, row in enumerate(scores):
                     best = np.lexsort((keys, -row))[:k]
@@ -137,3 +138,11 @@ def hashed_vector(rows: DataFrame, key: str, terms: str, dimensions: int = 64) -
     sums = tf.groupBy(key, bucket.alias("dim")).agg(F.sum(sign * (1 + F.log(F.col("tf").cast("double")))).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(key)))  # at most ``dimensions`` rows
     return sums.where(F.abs("w") > 1e-12).select(key, "dim", F.round(F.col("w") / norm, 6).alias("weight"))
+
+
+def dense_rows(rows: DataFrame, key: str, terms: Column, dimensions: int = 64) -> DataFrame:
+    """``(key, vector)``: the vectors of :func:`hashed_vector` as arrays; rows without terms have none."""
+    weights = hashed_vector(rows.select(key, terms.alias("_terms")), key, "_terms", dimensions)
+    held = weights.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("dim", "weight"))).alias("_w"))  # at most ``dimensions`` entries
+    dims = F.sequence(F.lit(0), F.lit(dimensions - 1))
+    return held.select(key, F.transform(dims, lambda d: F.coalesce(F.try_element_at("_w", d.cast("long")), F.lit(0.0)).cast("float")).alias("vector"))

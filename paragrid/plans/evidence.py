@@ -51,12 +51,6 @@ def char_count_check(spark, folder):
     return rows.groupBy(verdict.alias("verdict")).agg(F.count("*").alias("chunks"))
 
 
-def quote_containment(spark, folder):
-    sources = _cases(spark, folder).select("id", F.explode("sources.text").alias("source")).select("id", F.md5(text.rank_form(F.col("source"))).alias("form"))
-    blocks = table(spark, folder, "blocks").select("block_id", F.md5(text.rank_form(F.col("text"))).alias("form"))
-    return sources.join(blocks, "form").select("id", "block_id").distinct()
-
-
 def numbers_subset(spark, folder):
     pairs = grounding.claim_sources(table(spark, folder, "grounding_cases"))
     missing = F.array_except(text.numbers(F.col("claim")), text.numbers(F.col("source")))
@@ -93,7 +87,7 @@ def coverage_by_group(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        category_rules, load_by_ids_ordered, citation_explode, parent_self_join, context_trace, char_count_check, quote_containment, numbers_subset,
+        category_rules, load_by_ids_ordered, citation_explode, parent_self_join, context_trace, char_count_check, numbers_subset,
         answer_assemble, multiset_diff, balanced_assignment, seeded_sample, vector_report, coverage_by_group,
     )
 }
@@ -101,10 +95,6 @@ QUERIES = {
 _CASES = "(SELECT DISTINCT ON (id) * FROM grounding_cases)"
 
 
-def _form(column):
-    return f"md5(lower(trim(regexp_replace({column}, '{text.SPACE}+', ' ', 'g'), ' ')))"
-
-
 def _rule(name, term):
     test = f"regexp_matches(lower(title), '(^|[^a-z0-9]){term}($|[^a-z0-9])')" if term.isascii() else f"contains(lower(title), '{term}')"
     return f"WHEN {test} THEN '{name}'"
@@ -126,7 +116,6 @@ SQL = {
         FROM b LEFT JOIN t USING (table_id) WHERE block_type = 'table_cell' GROUP BY 1""",
     "context_trace": "SELECT DISTINCT chunk_id, sha256(text) AS sha256, substring(text, 1, 80) AS preview FROM chunks",
     "char_count_check": "SELECT CASE WHEN char_count IS NULL THEN 'missing' WHEN char_count = real THEN 'right' ELSE 'wrong' END AS verdict, count(*) AS chunks FROM (SELECT DISTINCT chunk_id, char_count, length(text) AS real FROM chunks) GROUP BY 1",
-    "quote_containment": f"""SELECT DISTINCT id, block_id FROM (SELECT id, {_form("s.text")} AS form FROM (SELECT id, unnest(sources) AS s FROM {_CASES})) JOIN (SELECT block_id, {_form("text")} AS form FROM blocks) USING (form)""",
     "numbers_subset": f"""SELECT id, place - 1 AS place, len(m) = 0 AS all_there, len(m) AS missing FROM (SELECT id, place, list_filter(list_distinct({_numbers("claim")}),
         lambda x: NOT list_contains({_numbers("s.text")}, x)) AS m FROM (SELECT id, claim, unnest(range(1, len(sources) + 1)) AS place, unnest(sources) AS s FROM {_CASES}))""",
     "answer_assemble": f"""WITH {_SUPPORT} SELECT t.id, any_value(claim) || ' ' || string_agg('[' || (place + 1) || ']', '' ORDER BY rank) AS answer FROM top t JOIN {_CASES} c USING (id) WHERE accepted GROUP BY 1""",

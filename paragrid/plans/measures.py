@@ -100,13 +100,6 @@ def majority_vote(spark, folder):
     return rows.select("user_id", "yes", "total", evaluation.strict_majority(F.col("yes"), F.col("total")).alias("verdict"))
 
 
-def leakage_intersect(spark, folder):
-    form = text.rank_form
-    claims = _cases(spark, folder).select(form(F.col("claim")).alias("form")).where("form <> ''").distinct()
-    blocks = table(spark, folder, "blocks").select("block_id", form(F.col("text")).alias("form")).distinct()
-    return blocks.join(claims, "form", "left_semi").select("block_id")
-
-
 def _halves(spark, folder):
     rows = table(spark, folder, "events").where("value is not null")
     late = (F.col("event_id") % 2) == 1
@@ -144,7 +137,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         hit_at_k, category_precision, rank_changes, latency_quantiles, score_histogram_pivot, run_rollup, cross_table, claim_lexical_support,
-        claim_topk_sources, claim_reasons, confusion_matrix, cohen_kappa, quadratic_kappa, unique_mode, majority_vote, leakage_intersect,
+        claim_topk_sources, claim_reasons, confusion_matrix, cohen_kappa, quadratic_kappa, unique_mode, majority_vote,
         win_tie_loss, mcnemar_exact, holm_adjust, sign_flip_exact, cluster_bootstrap_ci,
     )
 }
@@ -206,7 +199,6 @@ SQL = {
     "unique_mode": """WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2), t AS (SELECT *, max(n) OVER (PARTITION BY user_id) AS votes FROM c)
         SELECT user_id, CASE WHEN count(*) = 1 THEN min(event_type) END AS mode, max(votes) AS votes FROM t WHERE n = votes GROUP BY 1""",
     "majority_vote": "SELECT user_id, yes, total, CASE WHEN yes * 2 > total THEN true WHEN yes * 2 < total THEN false END AS verdict FROM (SELECT user_id, count(*) FILTER (value > 10) AS yes, count(*) AS total FROM events GROUP BY 1)",
-    "leakage_intersect": f"SELECT block_id FROM (SELECT DISTINCT block_id, {_FOLD('text')} AS form FROM blocks) WHERE form IN (SELECT {_FOLD('claim')} FROM grounding_cases) AND form <> ''",
     "win_tie_loss": f"WITH {_HALVES} SELECT event_type, wins, ties, losses FROM wtl",
     "mcnemar_exact": f"WITH {_HALVES} SELECT event_type, wins, losses, p FROM mc",
     "holm_adjust": f"""WITH {_HALVES} SELECT event_type, p, round(max(s) OVER (ORDER BY p ROWS UNBOUNDED PRECEDING), 9) AS p_holm FROM (SELECT *, least(1.0, (count(*) OVER () - row_number() OVER (ORDER BY p) + 1) * p) AS s FROM mc)""",
