@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paragrid.plans import context, corpus, events, evidence, facts, measures, reports, search, sources, texts
+from paragrid.plans import context, corpus, events, evidence, facts, measures, reports, search, sources, texts, work
 
 Query = Callable[[SparkSession, str], DataFrame]
-_PLANS = (texts, facts, search, context, corpus, measures, reports, evidence, events, sources)
+_PLANS = (texts, facts, search, context, corpus, measures, reports, work, evidence, events, sources)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

@@ -94,9 +94,14 @@ def scopes_conflict(left: Column, right: Column) -> Column:
 
 
 def comparators(text: Column) -> Column:
-    """Bounds ``value:word`` of a text, such as "20:이상"."""
+    """Bounds ``value:word`` of a text, such as "20:이상"; amounts of money in won."""
     flat = fold_space(text)
-    return F.transform(_all(flat, COMPARED), lambda m: F.concat(F.regexp_replace(F.regexp_extract(m, COMPARED, 1), ",", ""), F.lit(":"), F.regexp_extract(m, COMPARED, 2)))
+
+    def bound(m: Column) -> Column:
+        value = F.when(F.contains(m, F.lit("원")), money(m).cast("string")).otherwise(F.regexp_replace(F.regexp_extract(m, COMPARED, 1), ",", ""))
+        return F.concat(value, F.lit(":"), F.regexp_extract(m, COMPARED, 2))
+
+    return F.transform(_all(flat, COMPARED), bound)
 
 
 def denies(text: Column) -> Column:

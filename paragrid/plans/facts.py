@@ -142,7 +142,7 @@ _BOUND = r"[0-9][0-9,.]* ?(?:%|명|건|회|점|시간|학점|일|원|만 ?원)?
 
 
 def _bounds(column):
-    return f"list_transform(regexp_extract_all({_flat(column)}, '{_BOUND}'), lambda m: replace(regexp_extract(m, '[0-9][0-9,.]*'), ',', '') || ':' || right(m, 2))"
+    return f"list_transform(regexp_extract_all({_flat(column)}, '{_BOUND}'), lambda m: CASE WHEN contains(m, '원') THEN CAST({_WORTH} AS VARCHAR) ELSE replace(regexp_extract(m, '[0-9][0-9,.]*'), ',', '') END || ':' || right(m, 2))"
 
 
 _LINES = "list_filter(list_transform(regexp_split_to_array({0}, '\\n+'), lambda s: trim(s, ' ')), lambda s: s <> '')"

@@ -12,13 +12,16 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 BLOCKS = (
     "document_id string, block_id string, block_type string, text string, reading_order int, parser string, page int, "
     "section_path array<string>, table_id string, row_no int, column_no int"
 )
-MAX_MEMBERS, MAX_RATIO, MAX_BYTES = 10_000, 200, 2 << 30
+# Limits of an archive's members: their number, the size of each and of all, and size over packed size.
+MAX_MEMBERS, MAX_MEMBER, MAX_BYTES, MAX_RATIO = 100_000, 1 << 30, 4 << 30, 1_000
+# Members that tell what a zipped file is.
+ZIP_KINDS = (("word/document.xml", "docx"), ("xl/workbook.xml", "xlsx"), ("ppt/presentation.xml", "pptx"), ("Contents/section0.xml", "hwpx"), ("META-INF/container.xml", "epub"))
 _SKIP = {"script", "style", "noscript", "svg", "template"}
 _TEXT = {"p": "paragraph", "li": "list_item", "caption": "caption", "figcaption": "caption", "dt": "list_item", "dd": "paragraph", "pre": "paragraph", "blockquote": "paragraph"}
 
@@ -184,62 +187,184 @@ def markdown_blocks(content: bytes) -> list[tuple]:
     return out
 
 
+def zip_fault(entries: list[zipfile.ZipInfo]) -> str | None:
+    """Why an archive's members are refused: too_many, too_large, all_too_large, ratio, path; None if they are not."""
+    size, packed = sum(e.file_size for e in entries), max(1, sum(e.compress_size for e in entries))
+    if len(entries) > MAX_MEMBERS:
+        return "too_many"
+    if any(e.file_size > MAX_MEMBER for e in entries):
+        return "too_large"
+    if size > MAX_BYTES:
+        return "all_too_large"
+    if size > 1 << 20 and size / packed > MAX_RATIO:
+        return "ratio"
+    if any(e.filename.startswith("/") or ".." in e.filename.replace("\\", "/").split("/") for e in entries):
+        return "path"
+    return None
+
+
 def _members(content: bytes) -> zipfile.ZipFile:
-    """The archive, if its members keep the limits of count, size and ratio."""
+    """The archive, if its members keep the limits."""
     archive = zipfile.ZipFile(io.BytesIO(content))
-    entries = archive.infolist()
-    size, packed = sum(e.file_size for e in entries), max(1, sum(e.compress_size for e in entries))
-    if len(entries) > MAX_MEMBERS or size > MAX_BYTES or size / packed > MAX_RATIO or any(".." in e.filename.split("/") for e in entries):
-        raise ValueError("the archive's members are over the limits")
+    if fault := zip_fault(archive.infolist()):
+        raise ValueError(f"zip_{fault}")
     return archive
 
 
+@F.pandas_udf(StringType())
+def zip_kind(content: pd.Series) -> pd.Series:
+    """What a zipped file is by its members: docx, xlsx, pptx, hwpx, epub or zip; the fault of one that is refused; null for no archive."""
+
+    def kind(data: bytes | None) -> str | None:
+        if data is None:
+            return None
+        try:
+            archive = _members(bytes(data))
+        except zipfile.BadZipFile:
+            return None
+        except ValueError as fault:
+            return str(fault)
+        names = set(archive.namelist())
+        return next((k for member, k in ZIP_KINDS if member in names), "zip")
+
+    return pd.Series([kind(c) for c in content], dtype=object)
+
+
+def _local(element: ElementTree.Element) -> str:
+    return element.tag.rpartition("}")[2]
+
+
+def _words(element: ElementTree.Element) -> str:
+    return re.sub(r"\s+", " ", "".join(t.text or "" for t in element.iter() if _local(t) == "t")).strip()
+
+
+def _level(paragraph: ElementTree.Element) -> int | None:
+    """A paragraph's heading level by the name of its style, if it has one."""
+    for element in paragraph.iter():
+        if _local(element) == "pStyle":
+            style = next((v for k, v in element.attrib.items() if k.rpartition("}")[2] == "val"), "")
+            found = re.fullmatch(r"(?i)(?:heading|제목) ?([1-9])|title", style)
+            return (int(found[1]) if found[1] else 1) if found else None
+    return None
+
+
 def office_blocks(content: bytes) -> list[tuple]:
-    """Blocks of a zipped office file (docx, pptx, hwpx): paragraphs, and tables of a document's body."""
+    """Blocks of a zipped office file (docx, pptx, hwpx): headings by style, list items, paragraphs, and tables in their place; a slide is a page."""
     archive = _members(content)
     names = archive.namelist()
     parts = [n for n in ("word/document.xml",) if n in names]
     parts += sorted((n for n in names if re.fullmatch(r"ppt/slides/slide\d+\.xml|Contents/section\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
-    out, number = [], 0
-    local = lambda e: e.tag.rpartition("}")[2]
-    words = lambda e: re.sub(r"\s+", " ", "".join(t.text or "" for t in e.iter() if local(t) == "t")).strip()
-    for part in parts:
+    out: list[tuple] = []
+    path: list[tuple[int, str]] = []
+    number = 0
+    for page, part in enumerate(parts, 1):
         inside: set = set()
         for element in ElementTree.fromstring(archive.read(part)).iter():
-            if local(element) == "tbl" and element not in inside:
+            if _local(element) == "tbl" and element not in inside:
                 inside |= set(element.iter())
-                rows = [[words(c) for c in r if local(c) == "tc"] for r in element.iter() if local(r) == "tr"]
-                _append_table(out, [r for r in rows if r], [], number)
+                rows = [[_words(c) for c in r if _local(c) == "tc"] for r in element.iter() if _local(r) == "tr"]
+                _append_table(out, [r for r in rows if r], [p[1] for p in path], number)
                 number += 1
-            elif local(element) == "p" and element not in inside and (text := words(element)):
-                out.append(("paragraph", text, [], None, None, None))
+            elif _local(element) == "p" and element not in inside and (text := _words(element)):
+                level = _level(element)
+                if level is not None:
+                    path = [p for p in path if p[0] < level] + [(level, text)]
+                listed = any(_local(e) == "numPr" for e in element.iter())
+                kind = "heading" if level is not None else "list_item" if listed else "paragraph"
+                out.append((kind, text, [p[1] for p in path], None, None, None, page if part.startswith("ppt/") else 1))
     return out
 
 
-PARSERS: dict[str, Callable[[bytes], list[tuple]]] = {"native/html": html_blocks, "native/markdown": markdown_blocks, "native/office": office_blocks}
+def sheet_blocks(content: bytes) -> list[tuple]:
+    """Blocks of a workbook (xlsx): each sheet's name as a heading and its filled rows as a table, cells at their columns."""
+    archive = _members(content)
+    names = set(archive.namelist())
+    shared = []
+    if "xl/sharedStrings.xml" in names:
+        shared = [_words(e) for e in ElementTree.fromstring(archive.read("xl/sharedStrings.xml")) if _local(e) == "si"]
+    book = ElementTree.fromstring(archive.read("xl/workbook.xml"))
+    titles = [e.attrib.get("name", "") for e in book.iter() if _local(e) == "sheet"]
+    sheets = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
+
+    def value(cell: ElementTree.Element) -> str:
+        kind = cell.attrib.get("t", "n")
+        if kind == "inlineStr":
+            return _words(cell)
+        raw = next((e.text or "" for e in cell if _local(e) == "v"), "")
+        return shared[int(raw)] if kind == "s" and raw.isdigit() and int(raw) < len(shared) else {"0": "FALSE", "1": "TRUE"}.get(raw, raw) if kind == "b" else raw
+
+    def column(reference: str) -> int:
+        n = 0
+        for c in re.sub("[^A-Z]", "", reference.upper()):
+            n = n * 26 + ord(c) - 64
+        return n - 1
+
+    out: list[tuple] = []
+    for page, name in enumerate(sheets, 1):
+        rows = []
+        for row in (e for e in ElementTree.fromstring(archive.read(name)).iter() if _local(e) == "row"):
+            cells = {column(c.attrib.get("r", "")) if c.attrib.get("r") else i: value(c) for i, c in enumerate(e for e in row if _local(e) == "c")}
+            if any(v.strip() for v in cells.values()):
+                rows.append([re.sub(r"\s+", " ", cells.get(i, "")).strip() for i in range(max(cells) + 1)])
+        title = titles[page - 1] if page <= len(titles) else name
+        if rows:
+            out.append(("heading", title, [title], None, None, None, page))
+            before = len(out)
+            _append_table(out, rows, [title], page - 1)
+            out[before:] = [(*b, page) for b in out[before:]]
+    return out
+
+
+PARSERS: dict[str, Callable[[bytes], list[tuple]]] = {"native/html": html_blocks, "native/markdown": markdown_blocks, "native/office": office_blocks, "native/sheets": sheet_blocks}
+
+
+def _read(read: Callable[[bytes], list[tuple]], content: bytes) -> tuple[list[tuple], str | None]:
+    """Blocks, or the fault of a file that cannot be read."""
+    try:
+        return read(bytes(content)), None
+    except zipfile.BadZipFile:
+        return [], "no_archive"
+    except ElementTree.ParseError:
+        return [], "no_xml"
+    except KeyError:
+        return [], "part_missing"
+    except ValueError as fault:
+        return [], str(fault)
 
 
 def parse(documents: DataFrame, parser: str) -> DataFrame:
-    """Blocks of ``(document_id, content)`` rows by one of ``PARSERS``; a file that cannot be read has none. Null contents have none."""
+    """Blocks of ``(document_id, content)`` rows by one of ``PARSERS``; a file that cannot be read has none (see :func:`attempts`). Null contents have none."""
     read = PARSERS[parser]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for key, content in zip(frame["document_id"], frame["content"]):
-                try:
-                    found = read(bytes(content))
-                except (ValueError, zipfile.BadZipFile, ElementTree.ParseError, KeyError):
-                    found = []
-                for n, (kind, text, path, table, row, column) in enumerate(found):
+                for n, (kind, text, path, table, row, column, *page) in enumerate(_read(read, content)[0]):
                     mark = None if table is None else f"{key}:t{table:04d}"
-                    rows.append((key, f"{key}:b{n:06d}", kind, text, n, parser, 1, path, mark, row, column))
+                    rows.append((key, f"{key}:b{n:06d}", kind, text, n, parser, page[0] if page else 1, path, mark, row, column))
             made = pd.DataFrame(rows, columns=[c.split()[0] for c in BLOCKS.split(", ")])
             yield made.astype({"row_no": "Int32", "column_no": "Int32"})
 
     return documents.where("content is not null").select("document_id", "content").mapInPandas(run, BLOCKS)
 
 
+def attempts(documents: DataFrame, parser: str) -> DataFrame:
+    """``(document_id, parser, status, fault, blocks, characters)``: a row for every document, of those that cannot be read too."""
+    read = PARSERS[parser]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for key, content in zip(frame["document_id"], frame["content"]):
+                found, fault = _read(read, content) if content is not None else ([], "no_content")
+                size = sum(len("".join(b[1].split())) for b in found if b[0] != "table_cell")
+                rows.append((key, parser, "error" if fault else "empty" if not size else "parsed", fault, len(found), size))
+            yield pd.DataFrame(rows, columns=["document_id", "parser", "status", "fault", "blocks", "characters"])
+
+    return documents.select("document_id", "content").mapInPandas(run, "document_id string, parser string, status string, fault string, blocks long, characters long")
+
+
 def best_attempt(attempts: DataFrame) -> DataFrame:
     """The attempt that counts for each document: the first that passed, else the best score, else the most text."""
     order = F.struct((F.col("decision") == "pass").cast("int"), F.when(F.col("decision") == "pass", -F.col("attempt")).otherwise(F.lit(0)), "score", "characters")
