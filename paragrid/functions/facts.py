@@ -20,7 +20,7 @@ QUANTITY = r"[0-9][0-9,]*(?:[.][0-9]+)? ?(?:학점|시간|개월|명|건|회|점
 PHONE = r"0[0-9]{1,2}-[0-9]{3,4}-[0-9]{4}|내선 ?[0-9]{4}"
 COMPARED = r"([0-9][0-9,.]*) ?(?:%|명|건|회|점|시간|학점|일|원|만 ?원)? ?(이상|이하|초과|미만)"
 # Endings that deny, forbid or except.
-DENIED = "않|아니|못|없|불가|금지|제외|제한"
+DENIED = "않|아니|아닙|못|없|불가|금지|제외|제한"
 CONNECTIVES = r"(하고|하며|하되|이며|이고|지만|으나),? |[;·]| 및 "
 
 

@@ -188,7 +188,7 @@ _GEO = """geo AS (SELECT *, CAST(CAST('0x' || substring(md5(block_id), 1, 4) AS
     FROM (SELECT DISTINCT document_id, page, block_id, reading_order, text FROM blocks WHERE page IS NOT NULL AND block_type <> 'table_cell'))"""
 _ONE = "(SELECT DISTINCT ON (document_id, block_id) * FROM blocks)"
 _VERDICT = f"""{_facts._BOTH}, j AS (SELECT id, claim, place, round(CASE WHEN len(q) > 0 THEN len(list_intersect(q, {_facts._TERMS.format("source")})) / len(q) ELSE 0 END, 6) AS share,
-    CASE WHEN regexp_matches(claim, '않|아니|못|없|불가|금지|제외|제한') <> regexp_matches(source, '않|아니|못|없|불가|금지|제외|제한') OR len(list_filter({_facts._bounds("claim")}, lambda x: NOT list_contains({_facts._bounds("source")}, x))) > 0
+    CASE WHEN regexp_matches(claim, '않|아니|아닙|못|없|불가|금지|제외|제한') <> regexp_matches(source, '않|아니|아닙|못|없|불가|금지|제외|제한') OR len(list_filter({_facts._bounds("claim")}, lambda x: NOT list_contains({_facts._bounds("source")}, x))) > 0
     OR {_facts._SCOPE} OR {_facts._CLASH.format("phone:")} OR NOT list_has_all(b, a) THEN 'mismatch' ELSE 'matched' END AS v FROM (SELECT *, list_distinct({_facts._TERMS.format("claim")}) AS q FROM f)),
     judged AS (SELECT id, claim, place, share, CASE WHEN share < 0.4 THEN 'uncertain' ELSE v END AS verdict FROM j)"""
 SQL = {
