@@ -23,8 +23,12 @@ def test_a_rare_line_goes_by_the_ratio_alone(spark):
     assert lines.found_lines(df, chunks).where("block_id like 'd%'").count() == 0
     cleaned = {r.block_id: r.text for r in lines.without_lines(df, lines.excess_lines(df, chunks)).collect()}
     assert cleaned["d3:0"] == own[3][3].split("\n")[0] and cleaned["e1:0"] == other[1][3].split("\n")[0] and len(cleaned) == 600
-    common = df.withColumn("text", F.concat("text", F.lit("\n어디나 있는 줄")))
-    assert lines.repeated_lines(lines.lines_of(common.where("document_id <> 'd1'")), lines.hosts_of(chunks)).where("log10_q <= -2").count() == 1
+    # A line that all hosts have is in excess by its share alone; the two lines of one host each are by the ratio.
+    common = df.withColumn("text", F.concat("text", F.lit("\n어디나 있는 줄"))).where("document_id <> 'd1'")
+    excess = lines.repeated_lines(lines.lines_of(common), lines.hosts_of(chunks))
+    mark = lambda text: spark.range(1).select(F.xxhash64(F.lit(text))).first()[0]
+    assert {r["mark"] for r in excess.where("log10_q <= -2").collect()} == {mark("쿠키를 저장합니다."), mark("모두의 줄")}
+    assert excess.where(F.col("mark") == mark("어디나 있는 줄")).count() == 2
 
 
 def test_main_body(spark):
