@@ -62,6 +62,25 @@ def test_bm25_ties_and_empty(spark, tmp_path, monkeypatch):
         assert index.best(own, asked.where("query = 8"), "query", 1).count() == 0
 
 
+@pytest.mark.parametrize("most, cells, block", [(10**6, 10**6, 2_048), (40, 50, 7), (0, 1, 1)])
+def test_best_of_any_number_of_questions_joins_no_postings(spark, tmp_path, monkeypatch, most, cells, block):
+    import random
+
+    random.seed(5)
+    words = [a + b for a in "가나다라마" for b in "바사아자"]
+    docs = spark.createDataFrame([(f"d{n % 7}-{n}", " ".join(random.choices(words, k=random.randint(0, 9)))) for n in range(90)], "doc string, body string")
+    index.build(docs, "doc", F.col("body"), str(tmp_path / "i"))
+    own = index.load(spark, str(tmp_path / "i"))
+    asked = retrieval.query_terms(spark.createDataFrame([(n, " ".join(random.choices(words, k=3))) for n in range(6)], "query int, q string"), "query", F.col("q"))
+    rows = lambda df: sorted((r.query, r.rank, r.doc, r.score) for r in df.collect())
+    wanted = rows(retrieval.top(index.bm25(own, asked, "query"), "query", "doc", 4))
+    for name, value in (("BROADCAST_ASKED", most), ("CELLS", cells), ("DOCUMENT_BLOCK", block), ("QUERY_BLOCK", 4)):
+        monkeypatch.setattr(index, name, value)
+    found = index.best(own, asked, "query", 4)
+    assert rows(found) == wanted
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_fusion_and_diversity(spark):
     a = spark.createDataFrame([(1, "x", 1), (1, "y", 2), (1, "x", 3)], "q int, k string, rank int")
     b = spark.createDataFrame([(1, "y", 1), (1, "z", 2)], "q int, k string, rank int")
