@@ -49,6 +49,19 @@ def test_contained_equals_brute_force(spark):
     assert evidence.contained(q.limit(0), "id", "quote", t, "key", "text").count() == 0
 
 
+def test_a_wording_is_looked_for_once(spark, monkeypatch):
+    long = "장학금은 학기마다 성적에 따라 지급하며 신청은 학과 사무실에서 받습니다"
+    quotes = [(f"q{n}", [long, "홈", "공지"][n % 3]) for n in range(30)]
+    texts = [(f"t{n}", ["홈 공지", f"앞 {long} 뒤"][n % 2]) for n in range(20)]
+    seen, met = [], evidence._met
+    monkeypatch.setattr(evidence, "_met", lambda words, *rest: seen.append(words.count()) or met(words, *rest))
+    q, t = spark.createDataFrame(quotes, "id string, quote string"), spark.createDataFrame(texts, "key string, text string")
+    for unique in (False, True):
+        got = sorted(map(tuple, evidence.contained(q, "id", "quote", t, "key", "text", unique=unique).collect()))
+        assert got == sorted((i, k) for i, a in quotes for k, b in texts if a in b)
+    assert seen == [3] * 2
+
+
 def test_near_quotes(spark):
     quote = "학생은 신청서를 3월 2일까지 제출하여야 합니다"
     rows = [(1, quote, "안내: " + quote + " 끝"), (2, quote, "안내. 학생은 신청서를 3월 2일까지 꼭 제출하여야 합니다"), (3, quote, "학생은 신청서를 3월 9일까지 제출하여야 합니다"), (4, quote, "무관한 글"), (5, quote, None), (6, quote, "학생은 신청서를 3월 2일까지 제출하지 않아도 합니다")]
