@@ -104,6 +104,21 @@ def test_dense_equals_brute_force(spark):
         assert [got[q, n] for n in (1, 2, 3)] == best
 
 
+def test_dense_exchanges_no_vectors(spark, monkeypatch):
+    rows = [(n, [float((n * 7 + i * 3) % 11 - 5) for i in range(4)]) for n in range(50)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = lambda: retrieval.dense_top(df, df.where("vec_id % 5 = 0"), "vec_id", "embedding", 3)
+    values = lambda d: sorted(map(tuple, d.select("query_id", "rank", "vec_id", "score").collect()))
+    whole = values(found())
+    assert len(whole) == 30
+    monkeypatch.setattr(retrieval, "SENT", 8)  # several passes
+    monkeypatch.setattr(retrieval, "ROW_BLOCK", 7)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 1)
+    assert values(found()) == whole
+    plan = found()._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "Join" not in plan
+
+
 def test_curation(spark):
     rows = spark.createDataFrame([("a", "g", 1), ("b", "g", 2), ("c", None, 3), ("d", None, 4), ("a", "g", 1)], "id string, g string, t int").distinct()
     got = {r.id: r.duplicate_of for r in curation.duplicates(rows, F.col("g"), F.col("t"), winner="id").collect()}
