@@ -119,6 +119,17 @@ def test_dense_exchanges_no_vectors(spark, monkeypatch):
     assert "collect_list" not in plan and "Join" not in plan
 
 
+def test_dense_rows_exchange_no_terms(spark):
+    rows = spark.createDataFrame([(1, "가나 다라 가나 ab"), (2, "1"), (3, ""), (4, None)], "k int, v string")
+    held = {}
+    for r in retrieval.hashed_vector(rows.select("k", text.terms(F.col("v")).alias("t")), "k", "t").collect():
+        held.setdefault(r.k, {})[r.dim] = r.weight
+    found = retrieval.dense_rows(rows, "k", text.terms(F.col("v")))
+    got = {r.k: {n: round(x, 6) for n, x in enumerate(r.vector) if x} for r in found.collect()}
+    assert got == held and set(got) == {1, 2}
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_curation(spark):
     rows = spark.createDataFrame([("a", "g", 1), ("b", "g", 2), ("c", None, 3), ("d", None, 4), ("a", "g", 1)], "id string, g string, t int").distinct()
     got = {r.id: r.duplicate_of for r in curation.duplicates(rows, F.col("g"), F.col("t"), winner="id").collect()}
