@@ -179,3 +179,21 @@ def test_files(spark, tmp_path):
     held = spark.createDataFrame(before.collect(), before.schema)
     table.write.mode("append").parquet(str(tmp_path / "once"))
     assert {r.change for r in sinks.changed(held, sinks.inventory(spark, str(tmp_path / "once"))).collect()} == {"added"}
+
+
+def test_recall_exchanges_no_pairs(spark, monkeypatch):
+    random.seed(4)
+    words = ["홈", "자료실", "학사 안내", "장학금은 학기마다 성적에 따라 지급합니다", "신청은 사무실에서"]
+    texts = [(f"t{n}", " / ".join(random.sample(words, n % 4))) for n in range(40)] + [("null", None)]
+    cases = [(f"c{n}", [random.choice([*words, "없는 말", ""]) for _ in range(n % 4)]) for n in range(30)]
+    ranked = [(c, f"t{n}") for c, _ in cases for n in random.sample(range(40), 6)] + [("other", "t1"), ("c3", "gone")]
+    q, t, r = spark.createDataFrame(cases, "c string, quotes array<string>"), spark.createDataFrame(texts, "k string, text string"), spark.createDataFrame(ranked, "c string, k string")
+    gold = {c: {k for k, x in texts if x and any(w and w in x for w in own)} for c, own in cases}
+    want = {c: (len(ks), len(ks & {k for a, k in ranked if a == c})) for c, ks in gold.items() if ks}
+    monkeypatch.setattr(evidence, "contained", None)
+    for quotes, cells, letters in ((evidence.QUOTES, evidence.CELLS, evidence.LETTERS), (5, 1, 40), (40, 100, 10**6)):
+        monkeypatch.setattr(evidence, "QUOTES", quotes)
+        monkeypatch.setattr(evidence, "CELLS", cells)
+        monkeypatch.setattr(evidence, "LETTERS", letters)
+        got = {x.c: (x.wanted, x.found) for x in evidence.holding(q, "c", "quotes", r, t, "k", "text").collect()}
+        assert got == want
