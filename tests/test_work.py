@@ -197,3 +197,10 @@ def test_recall_exchanges_no_pairs(spark, monkeypatch):
         monkeypatch.setattr(evidence, "LETTERS", letters)
         got = {x.c: (x.wanted, x.found) for x in evidence.holding(q, "c", "quotes", r, t, "k", "text").collect()}
         assert got == want
+
+
+def test_sentences_come_to_their_question_once(spark):
+    rows = spark.createDataFrame([(1, 1, "가나 다라", "가나 다. 라마 바."), (1, 2, "가나 다라", "가나 다. 새 글 다라.")], "q int, rank int, c string, body string")
+    found = context.answer_sentences(rows, "q", F.col("c"), F.col("body"))
+    assert [(r.place, r.sentence) for r in found.orderBy("place").collect()] == [(1, "가나 다."), (2, "새 글 다라."), (3, "라마 바.")]
+    assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
