@@ -204,3 +204,10 @@ def test_sentences_come_to_their_question_once(spark):
     found = context.answer_sentences(rows, "q", F.col("c"), F.col("body"))
     assert [(r.place, r.sentence) for r in found.orderBy("place").collect()] == [(1, "가나 다."), (2, "새 글 다라."), (3, "라마 바.")]
     assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+
+
+def test_expanded_fetches_chosen_texts_only(spark):
+    pieces = spark.createDataFrame([("a", "d", 0, None, 2), ("b", "d", 1, None, 3), ("c", "d", 2, None, 50)], "chunk_id string, document_id string, place int, section string, size int")
+    texts = spark.createDataFrame([("a", "가가"), ("b", "나나나"), ("c", None)], "chunk_id string, text string")
+    got = context.expanded(spark.createDataFrame([(1, 1, "a")], "q int, rank int, chunk_id string"), pieces, "q", 10, texts=texts).collect()
+    assert [(r.mode, r.pieces, r.chars, r.text) for r in got] == [("neighbor", 2, 7, "가가\n\n나나나")]
