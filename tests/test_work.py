@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from paragrid.functions import facts, normal
 from paragrid.operators import claims, context, evidence, pages, reports
+from paragrid.plans import context as context_plans
 from paragrid.sources import parsing, sinks
 from paragrid.streaming import frontier
 
@@ -211,3 +212,12 @@ def test_expanded_fetches_chosen_texts_only(spark):
     texts = spark.createDataFrame([("a", "가가"), ("b", "나나나"), ("c", None)], "chunk_id string, text string")
     got = context.expanded(spark.createDataFrame([(1, 1, "a")], "q int, rank int, chunk_id string"), pieces, "q", 10, texts=texts).collect()
     assert [(r.mode, r.pieces, r.chars, r.text) for r in got] == [("neighbor", 2, 7, "가가\n\n나나나")]
+
+
+def test_claims_of_one_wording_ask_once(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", "가나  다라"), ("b", "가나 다라"), ("c", "마바")], "id string, claim string")
+    seen = []
+    monkeypatch.setattr(context_plans, "_claims", lambda *_: rows)
+    monkeypatch.setattr(context_plans, "_best", lambda s, f, w, key, k: seen.append(w.count()) or w.select(key, F.lit("x").alias("chunk_id"), F.lit(1).alias("rank")))
+    assert sorted(tuple(r) for r in context_plans._ranked(spark, "", 1).collect()) == [("a", "x", 1), ("b", "x", 1), ("c", "x", 1)]
+    assert seen == [2]
